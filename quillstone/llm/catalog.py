@@ -21,3 +21,30 @@ def op1_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op1_simhash_near_dedup"] = op1_simhash_near_dedup
+
+
+def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    from .bpe import digests
+
+    return digests(documents(spark, sf))
+
+
+QUERIES["op8_byte_bpe"] = op8_byte_bpe
+
+
+def op6_fertility_rules(spark: SparkSession, sf: str) -> DataFrame:
+    from .fertility import rules
+
+    return rules(documents(spark, sf))
+
+
+QUERIES["op6_fertility_rules"] = op6_fertility_rules
+
+
+def op5_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+QUERIES["op5_quality_classifier"] = op5_quality_classifier
