@@ -48,3 +48,19 @@ def op5_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op5_quality_classifier"] = op5_quality_classifier
+
+
+def op7_two_pass_shards(spark: SparkSession, sf: str) -> DataFrame:
+    from .sharding import digests
+
+    return digests(documents(spark, sf))
+
+
+def op4_crf_language(spark: SparkSession, sf: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(documents(spark, sf))
+
+
+QUERIES["op7_two_pass_shards"] = op7_two_pass_shards
+QUERIES["op4_crf_language"] = op4_crf_language
