@@ -64,3 +64,15 @@ def op4_crf_language(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["op7_two_pass_shards"] = op7_two_pass_shards
 QUERIES["op4_crf_language"] = op4_crf_language
+
+
+def op2_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+from .warc import ORACLE as _WARC  # noqa: E402
+
+QUERIES["op2_warc_archive"] = op2_warc_archive
+ORACLES["op2_warc_archive"] = _WARC
