@@ -76,3 +76,22 @@ from .warc import ORACLE as _WARC  # noqa: E402
 
 QUERIES["op2_warc_archive"] = op2_warc_archive
 ORACLES["op2_warc_archive"] = _WARC
+
+
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+def op10_token_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    from .rollup import maintained
+
+    return maintained(documents(spark, sf))
+
+
+from .rollup import ORACLE as _ROLLUP  # noqa: E402
+
+QUERIES["op9_decontamination"] = op9_decontamination
+QUERIES["op10_token_rollup"] = op10_token_rollup
+ORACLES["op10_token_rollup"] = _ROLLUP
