@@ -95,3 +95,12 @@ from .rollup import ORACLE as _ROLLUP  # noqa: E402
 QUERIES["op9_decontamination"] = op9_decontamination
 QUERIES["op10_token_rollup"] = op10_token_rollup
 ORACLES["op10_token_rollup"] = _ROLLUP
+
+
+def op3_repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    from .substrings import digests
+
+    return digests(documents(spark, sf))
+
+
+QUERIES["op3_repeated_substrings"] = op3_repeated_substrings
