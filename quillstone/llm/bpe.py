@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import by_arrow
 
@@ -226,3 +227,26 @@ def native_pieces(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     single = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda i: F.substring(F.col("piece"), i, F.lit(1)))
     folded = F.when(F.octet_length("piece") > 1, F.aggregate(F.sequence(F.lit(2), F.octet_length("piece")), single, step)).otherwise(F.array("piece"))
     return pieces.where("octet_length(piece) > 0").select("piece", F.transform(folded, rank).alias("ids"))
+
+
+def coded(docs: DataFrame, ranks: str | None = None) -> DataFrame:
+    """docs without text, with n_tokens and ids; each text is decoded from its ids and compared."""
+    path = ranks or default_ranks()
+    names = [c for c in docs.columns if c not in ("text", "n_tokens", "ids")]
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        c = coder(path)
+        every = []
+        for text in batch.column(0).to_pylist():
+            ids = c.encode(text or "")
+            if c.decode(ids) != (text or "").encode():
+                raise ValueError("a text doesn't come back from its ids")
+            every.append(np.array(ids, np.int32))
+        sizes = np.array([len(x) for x in every], np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        rest = [batch.column(k + 1) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays([*rest, pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(every)))], [*names, "n_tokens", "ids"])
+
+    kept = docs.select("text", *names)
+    schema = T.StructType([*kept.schema.fields[1:], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return by_arrow(kept, work, schema, 4 << 20)
