@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .shared import by_arrow, texts_of
 
 #: The most training rows.
-POSITIVES, UNLABELLED = 3000, 6000
-GRAMS = 1 << 12
+POSITIVES, UNLABELLED = 2000, 4000
+GRAMS = 1 << 11
 THRESHOLD = 0.7
 _CLASS = np.zeros((256, 8))
 for _b in range(256):
