@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import by_arrow, texts_of
 
 #: The most training rows.
-POSITIVES, UNLABELLED = 2000, 4000
+POSITIVES, UNLABELLED = 3000, 6000
 GRAMS = 1 << 11
 THRESHOLD = 0.7
 _CLASS = np.zeros((256, 8))
@@ -58,14 +58,19 @@ def features(data: bytes) -> np.ndarray:
 
 
 def matrix(texts: list[bytes]) -> np.ndarray:
-    return np.stack([features(x) for x in texts]) if texts else np.zeros((0, STATS + GRAMS), np.float32)
+    out = np.empty((len(texts), STATS + GRAMS), np.float32)
+    for n, x in enumerate(texts):
+        out[n] = features(x)
+    return out
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 40, size: int = 256, rate: float = 0.01, decay: float = 1e-5, seed: int = 5) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
     """Weights, bias, means and scales of the model of least non-negative risk (logistic loss)."""
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 1e-2
-    xp, xu = (positive - mean) / scale, (unlabelled - mean) / scale
+    both -= mean
+    both /= scale
+    xp, xu = both[: len(positive)], both[len(positive) :]
     rng = np.random.default_rng(seed)
     w, b = np.zeros(both.shape[1]), float(np.log(prior / (1 - prior)))
     m, v, t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
