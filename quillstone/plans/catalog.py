@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-from . import text  # noqa: E402
+from . import chats, consensus, profiles, routing, text  # noqa: E402
 
-for part in (text,):
+for part in (text, profiles, routing, chats, consensus):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
