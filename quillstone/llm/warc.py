@@ -33,7 +33,7 @@ from .shared import by_arrow, shared_folder
 
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of an archive file; lines of an index block.
-FILE_BYTES, BLOCK = 128 << 20, 2000
+FILE_BYTES, BLOCK = 32 << 20, 2000
 LEVEL = 5
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -187,8 +187,10 @@ def index_lines(folder: str, entries: DataFrame) -> DataFrame:
 def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """Every record, by way of the index: directory, blocks, byte ranges of the archive files."""
     lines = index_lines(folder, spark.read.parquet(f"{folder}/directory"))
-    # A file's captures go to a few tasks in the order of their bytes; the files have a bounded size.
-    spread = lines.repartition("file").sortWithinPartitions("file", "start").select("file", "start", "length")
+    # A file's captures go to one task in the order of their bytes; files have a bounded size. The number of tasks is given,
+    # as the lines are so much smaller than the records that they would be gathered in a few otherwise.
+    files = spark.read.parquet(f"{folder}/captures").select("file").distinct().count()
+    spread = lines.repartition(max(1, files), "file").sortWithinPartitions("file", "start").select("file", "start", "length")
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
