@@ -4,9 +4,10 @@ Two texts link if the Jaccard similarity of their sets of k-word shingles is `si
 reach. Texts of equal shingle sets count once. At a similarity of 0.8 fingerprints differ in some ten bits, so that blocks
 of equal bits no longer find them; the buckets are the smallest shingles under KEYS hashes instead, of which two such
 texts share one with probability 1 - 0.2**KEYS. Inside a bucket fingerprints are compared bit-sliced within a radius that
-covers the similarity with over three standard deviations to spare, and give stars, not pairs. A bucket over BUCKET is
-first cut by a second of the keys. What the stars connect is a candidate component, a superset of the groups in it: its
-members meet once, with their shingles, where pairs within the radius that are not connected yet are verified.
+covers the similarity with over three standard deviations to spare; of the pairs within it those pass whose SKETCH smallest
+shingles agree to within four deviations of it, so that texts that share a passage don't. They give stars, not pairs. A
+bucket over BUCKET is first cut by a second of the keys. What the stars connect is a candidate component, a superset of the
+groups in it: its members meet once, with their shingles, where pairs that pass and are not connected yet are verified.
 
 Nulls: a null text counts as empty; texts without words are one group. A null doc_id sorts before all others. Of rows that
 repeat both doc_id and text one stays. Other columns are kept.
@@ -22,81 +23,131 @@ from pyspark.sql import functions as F
 from . import simhash
 from .shared import batches, by_arrow, components, cut, stored, texts_of
 
-KEYS, RADIUS, BUCKET = 6, 20, 2048
-_ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, (KEYS, 2), dtype=np.uint64) | np.uint64(1)
+KEYS, SKETCH, RADIUS, BUCKET = 6, 64, 20, 2048
+_ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "tk": F.xxhash64("text")})
 
 
+def smallest(own: np.ndarray) -> np.ndarray:
+    """The smallest of the shingles under each of SKETCH hashes."""
+    out = np.full(SKETCH, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(own), 1 << 13):
+        np.minimum(out, (own[at : at + (1 << 13), None] * _ODD).min(0), out=out)
+    return out
+
+
+def pieces(low: np.ndarray) -> np.ndarray:
+    """Sixteen bits of each of the smallest."""
+    return ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
+
+
+def agreeing(sketches: np.ndarray, similarity: float):
+    """accept() for pairs whose sketches agree about as often as those of similar texts do."""
+    least = SKETCH * similarity - 4 * (SKETCH * similarity * (1 - similarity)) ** 0.5
+
+    def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i), bool)
+        for at in range(0, len(i), 1 << 15):
+            out[at : at + (1 << 15)] = (sketches[i[at : at + (1 << 15)]] == sketches[j[at : at + (1 << 15)]]).sum(1) >= least
+        return out
+
+    return accept
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(dk, tk, node, print, keys): node is a hash of the set of shingles."""
+    """(dk, tk, node, print, sketch, keys): node is a hash of the set of shingles."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, prints, keys = [], [], []
+        nodes, prints, keys, sketches = [], [], [], []
         for text in texts_of(batch.column(2)):
             hashes = simhash.shingle_hashes(text, k)
             prints.append(simhash.fingerprint(hashes))
             own = np.unique(hashes)
             mixed = own ^ (own >> np.uint64(31))
-            nodes.append(int((mixed * _ODD[0, 1] ^ (mixed * _ODD[1, 1] >> np.uint64(32))).sum(dtype=np.uint64)) if len(own) else 0)
-            keys.append([int((mixed * a + b >> np.uint64(1)).min()) for a, b in _ODD] if len(own) else [0] * KEYS)
+            nodes.append(int((mixed * _ODD[0] ^ (mixed * _ODD[1] >> np.uint64(32))).sum(dtype=np.uint64)) if len(own) else 0)
+            low = smallest(own)
+            sketches.append(pieces(low).tobytes())
+            keys.append((low[:KEYS] >> np.uint64(1)).astype(np.int64).tolist())
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(nodes), signed(prints), pa.array(keys, pa.list_(pa.int64()))], ["dk", "tk", "node", "print", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(nodes), signed(prints), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["dk", "tk", "node", "print", "sketch", "keys"])
+
+    return by_arrow(docs.select("dk", "tk", "text"), work, "dk long, tk long, node long, print long, sketch binary, keys array<long>", 4 << 20)
 
-    return by_arrow(docs.select("dk", "tk", "text"), work, "dk long, tk long, node long, print long, keys array<long>")
 
+def bucket_stars(radius: int, similarity: float):
+    """mapInArrow worker over rows (bucket, print, node, sketch) sorted by bucket: stars (a, b) of what passes."""
 
-def stars(nodes: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) of the candidate components of (node, print, keys)."""
-    rows = nodes.select("node", "print", "keys", F.posexplode("keys").alias("place", "key")).withColumn("bucket", F.xxhash64("place", "key"))
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        buckets, prints, nodes = (table.column(k).to_numpy() for k in range(3))
+        sketches = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint16).reshape(-1, SKETCH)
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(buckets)) + 1])
+        sizes = np.diff(np.concatenate([starts, [len(buckets)]]))
+        root = simhash.linked(prints.view(np.uint64), np.repeat(starts + sizes, sizes), radius, agreeing(sketches, similarity))
+        far = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], ["a", "b"])
+
+    def run(rows):
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n < 1 << 14:
+                continue
+            table = pa.Table.from_batches(held)
+            b = table.column(0).to_numpy()
+            at = n - int((b[::-1] != b[-1]).argmax()) if b[0] != b[-1] else 0
+            if at:
+                yield solve(table.slice(0, at))
+            rest = table.slice(at).combine_chunks()
+            held, n = rest.to_batches(), rest.num_rows
+        if n:
+            yield solve(pa.Table.from_batches(held))
+
+    return run
+
+
+def stars(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Edges (a, b) of the candidate components of (node, print, sketch, keys)."""
+    rows = nodes.select("node", "print", "sketch", "keys", F.posexplode("keys").alias("place", "key")).withColumn("bucket", F.xxhash64("place", "key"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = rows.join(sizes, "bucket")
-    small = shared.where(F.col("n") <= BUCKET).select("bucket", "print", "node")
-    finer = shared.where(F.col("n") > BUCKET).select("bucket", "place", "print", "node", F.posexplode("keys").alias("other", "key")).where("other <> place").select(F.xxhash64("bucket", "other", "key").alias("bucket"), "print", "node")
+    small = shared.where(F.col("n") <= BUCKET).select("bucket", "print", "node", "sketch")
+    finer = shared.where(F.col("n") > BUCKET).select("bucket", "place", "print", "node", "sketch", F.posexplode("keys").alias("other", "key")).where("other <> place").select(F.xxhash64("bucket", "other", "key").alias("bucket"), "print", "node", "sketch")
     counts = finer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("m")).where("n > 1")
     both = finer.join(counts, "bucket")
     joined = both.where((F.col("n") > BUCKET) & (F.col("node") != F.col("m"))).select(F.col("node").alias("a"), F.col("m").alias("b"))
-    every = small.union(both.where(F.col("n") <= BUCKET).select("bucket", "print", "node"))
-    return every.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(simhash.bucket_links(radius), "a long, b long").union(joined)
+    every = small.union(both.where(F.col("n") <= BUCKET).select("bucket", "print", "node", "sketch"))
+    return every.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(bucket_stars(radius, similarity), "a long, b long").union(joined)
 
 
 def verified(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
-    """The smallest index that each member reaches over pairs of the similarity."""
-    n = len(sets)
-    root = np.arange(n)
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    step = 4096
-    for at in range(0, n, step):  # bounds the pairs that are held at once
-        for to in range(at, n, step):
-            part = np.concatenate([prints[at : at + step], prints[to : to + step]]) if to > at else prints[at : at + step]
-            index = np.concatenate([np.arange(at, min(at + step, n)), np.arange(to, min(to + step, n))]) if to > at else np.arange(at, min(at + step, n))
-            i, j = simhash.sliced_pairs(part, np.full(len(part), len(part)), radius)
-            for a, b in zip(index[i].tolist(), index[j].tolist(), strict=True):
-                x, y = find(a), find(b)
-                if x == y:
-                    continue
-                p, q = sets[a], sets[b]
-                if min(len(p), len(q)) < similarity * max(len(p), len(q)):
-                    continue
+    """The smallest place that each member reaches over pairs of the similarity."""
+    passes = agreeing(np.stack([pieces(smallest(s)) for s in sets]), similarity)
+
+    def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = passes(i, j)
+        for n in np.flatnonzero(out).tolist():
+            p, q = sets[i[n]], sets[j[n]]
+            common = 0
+            if min(len(p), len(q)) >= similarity * max(len(p), len(q)):
                 common = len(np.intersect1d(p, q, assume_unique=True))
-                if common >= similarity * (len(p) + len(q) - common):
-                    root[max(x, y)] = min(x, y)
-    return np.array([find(x) for x in range(n)])
+            out[n] = common >= similarity * (len(p) + len(q) - common)
+        return out
+
+    return simhash.linked(prints, np.full(len(prints), len(prints)), radius, accept)
 
 
 def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """(dk, tk, group) of each row of docs (dk, tk, text)."""
     marks = stored(signatures(docs, k), "signatures")
-    nodes = marks.groupBy("node").agg(F.first("print").alias("print"), F.first("keys").alias("keys"))
-    roots = cut(components(stars(nodes, radius)))
+    nodes = marks.groupBy("node").agg(F.first("print").alias("print"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    roots = cut(components(stars(nodes, radius, similarity)))
     member = marks.groupBy("node").agg(F.min(F.struct("dk", "tk")).alias("who")).join(roots, "node").select("node", F.col("root").alias("part"), "who.dk", "who.tk")
     # A row that repeats doc_id and text is read once.
     wanted = docs.select("dk", "tk", "text").join(member, ["dk", "tk"])
@@ -116,7 +167,7 @@ def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = R
         def solve(part: list) -> pa.RecordBatch:
             own = {x[1]: x for x in part}
             part = [own[x] for x in sorted(own)]
-            low = verified(np.array([x[2] for x in part], np.int64).view(np.uint64), [x[3] for x in part], radius, similarity)
+            low = verified(np.array([x[2] for x in part], np.int64).view(np.uint64), [x[3].view(np.uint64) for x in part], radius, similarity)
             return pa.RecordBatch.from_arrays([pa.array([x[1] for x in part], pa.int64()), pa.array([part[r][1] for r in low], pa.int64())], ["node", "group"])
 
         for batch in batches(rows, 8 << 20):

@@ -52,8 +52,11 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def sliced_pairs(prints: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j within the radius, where j < ends[i]: ends[i] is the end of i's bucket in the sorted array."""
+def sliced_shifts(prints: np.ndarray, ends: np.ndarray, radius: int):
+    """For each distance d: places i whose print is within the radius of that at i + d, where i + d < ends[i].
+
+    ends[i] is the end of i's bucket in the sorted array.
+    """
     n = len(prints)
     words = (n + 63) // 64
     most = int((ends - np.arange(n)).max()) - 1 if n else 0
@@ -64,7 +67,6 @@ def sliced_pairs(prints: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.
     start = (1 << width) - 1 - radius
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     index = np.arange(n)
-    found = []
     for d in range(1, most + 1):
         lanes = np.zeros(words * 64, np.uint8)
         lanes[:n] = index + d < ends
@@ -88,13 +90,33 @@ def sliced_pairs(prints: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.
         if len(at):
             hit = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             word, lane = np.nonzero(hit)
-            i = at[word] * 64 + lane
-            found.append((i, i + d))
+            yield d, at[word] * 64 + lane
+
+
+def sliced_pairs(prints: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j within the radius, where j < ends[i]."""
+    found = [(i, i + d) for d, i in sliced_shifts(prints, ends, radius)]
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
+def linked(prints: np.ndarray, ends: np.ndarray, radius: int, accept=None) -> np.ndarray:
+    """The smallest place that each print reaches over pairs within the radius that accept(i, j) lets pass.
+
+    Pairs that are connected already are left out, and no more pairs are held than there are prints.
+    """
+    n = len(prints)
+    root = np.arange(n)
+    for d, i in sliced_shifts(prints, ends, radius):
+        i = i[root[i] != root[i + d]]
+        if accept is not None and len(i):
+            i = i[accept(i, i + d)]
+        if len(i):
+            root = lowest(n, np.concatenate([i, np.arange(n)]), np.concatenate([i + d, root]))
+    return root
+
+
 def lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index that each of 0..n-1 reaches over the pairs."""
     root = np.arange(n)
@@ -116,10 +138,9 @@ def bucket_links(radius: int):
         edge = np.flatnonzero(np.diff(buckets)) + 1
         starts = np.concatenate([[0], edge])
         sizes = np.diff(np.concatenate([starts, [len(buckets)]]))
-        i, j = sliced_pairs(prints.view(np.uint64), np.repeat(starts + sizes, sizes), radius)
-        root = lowest(len(buckets), i, j)
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], ["a", "b"])
+        root = linked(prints.view(np.uint64), np.repeat(starts + sizes, sizes), radius)
+        far = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], ["a", "b"])
 
     def run(rows):
         held: list[tuple[np.ndarray, ...]] = []

@@ -38,7 +38,7 @@ from .shared import batches, stored, texts_of
 WINDOW, CORE = 400, 200
 BUCKET = 100_000
 #: Window starts of a text that are looked at in one go.
-PIECE = 1 << 21
+PIECE = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -116,7 +116,7 @@ def run_rows(docs: DataFrame, window: int, core: int) -> DataFrame:
                     part = x if len(x) <= PIECE else x[a : a + PIECE + window - 1]
                     parts.append((dk, tk, a, part))
                     n += len(part)
-                    if n >= 4 << 20:
+                    if n >= 1 << 20:
                         if (out := work(parts)) is not None:
                             yield out
                         parts, n = [], 0
@@ -264,7 +264,7 @@ def sorted_buckets(sides: DataFrame, window: int, core: int) -> DataFrame:
                 continue
             held.append(batch)
             n += batch.num_rows
-            if n < 40_000:
+            if n < 20_000:
                 continue
             table = pa.Table.from_batches(held)
             h = table.column(0).to_numpy()
