@@ -137,18 +137,18 @@ def luminance(color) -> Column:
 
 def half_day_hour(hour, half) -> Column:
     """an hour with its half of the day as one of 24; without a half as it is."""
-    h = _col(hour).cast("int")
+    h = _col(hour).try_cast("int")
     return F.when(_col(half).isin("PM", "오후"), h % 12 + 12).when(_col(half).isin("AM", "오전"), h % 12).otherwise(h)
 
 
 def stamp(year, month, day, hour, minute) -> Column:
     """YYYY-MM-DD HH:MM."""
-    return F.format_string("%04d-%02d-%02d %02d:%02d", *(_col(x).cast("int") for x in (year, month, day, hour, minute)))
+    return F.format_string("%04d-%02d-%02d %02d:%02d", *(_col(x).try_cast("int") for x in (year, month, day, hour, minute)))
 
 
 def plain_html(text) -> Column:
     """An HTML text without scripts, styles, comments and tags, blanks squeezed."""
-    t = F.regexp_replace(_col(text), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    t = F.regexp_replace(F.regexp_replace(_col(text), r"(?is)<script\b.*?</script\s*>", " "), r"(?is)<style\b.*?</style\s*>", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr)\s*>", "\n")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
