@@ -4,7 +4,8 @@ Trusted positives are training rows that the labels mark 1; the web text at larg
 bounded features of the whole text minimises the non-negative unbiased risk: prior * R(positives, +) +
 max(0, R(unlabelled, -) - prior * R(positives, -)), with the class prior estimated from the labelled training rows. Where
 the unlabelled part turns negative, the step ascends it instead, so that the model does not fit the positives among the
-unlabelled. Training uses at most POSITIVES and UNLABELLED rows, taken by the smallest hashes of their ids; scoring reads
+unlabelled. Scores are shifted so that the threshold is halfway between the unlabelled rows' quantile at 1 - prior and the
+lowest positives. Training uses at most POSITIVES and UNLABELLED rows, taken by the smallest hashes of their ids; scoring reads
 every row once, in slices of bounded size.
 
 Nulls and empty texts get the score of a text without features. Rows with a null doc_id are scored and never learned
@@ -13,6 +14,8 @@ from. Rows repeated come out as often as they came in; other columns are ignored
 
 from __future__ import annotations
 
+import operator
+import re
 import zlib
 
 import numpy as np
@@ -26,14 +29,17 @@ from .shared import by_arrow, texts_of
 POSITIVES, UNLABELLED = 3000, 6000
 GRAMS = 1 << 11
 THRESHOLD = 0.7
+#: The share of trusted positives that may lie below the place from which the threshold is taken.
+LOWEST = 0.001
 _CLASS = np.zeros((256, 8))
 for _b in range(256):
     _CLASS[_b] = [65 <= _b <= 90, 97 <= _b <= 122, 48 <= _b <= 57, _b in b" \t\r\x0b\x0c", _b == 10, _b in b".,;:'\"-()", _b >= 128, _b in b"!#$%&*+/<=>?@[\\]^_`{|}~"]
-STATS = 8 + 8 + 7
+STATS = 8 + 8 + 9
+_MARKS = re.compile(rb"(?<!\S)[^\w\s\x80-\xff]+(?!\S)")
 
 
 def features(data: bytes) -> np.ndarray:
-    """Figures of one text, its length in proportion: byte classes, their changes, words and lines, hashed byte pairs."""
+    """Figures of one text, its length in proportion: byte classes, words and lines, repeats, marks, hashed byte pairs."""
     out = np.zeros(STATS + GRAMS, np.float32)
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
@@ -47,6 +53,7 @@ def features(data: bytes) -> np.ndarray:
     out[16:STATS] = [
         np.log1p(n) / 10, len(words) and min(3, n / len(words) / 10), distinct / max(len(words), 1), len(set(lines)) / max(len(lines), 1),
         np.log1p(len(lines)) / 5, len(words) and len(set(zip(words, words[1:], strict=False))) / len(words), np.log1p(len(words) / max(len(lines), 1)) / 5,
+        sum(map(operator.eq, words, words[1:])) / max(len(words), 1), len(_MARKS.findall(data)) / max(len(words), 1),
     ]
     if n > 1:
         grams = np.zeros(GRAMS)
@@ -64,7 +71,7 @@ def matrix(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 40, size: int = 256, rate: float = 0.01, decay: float = 1e-5, seed: int = 5) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 60, size: int = 512, rate: float = 0.01, decay: float = 1e-5, seed: int = 5) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
     """Weights, bias, means and scales of the model of least non-negative risk (logistic loss)."""
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 1e-2
@@ -101,6 +108,14 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     return (total / count)[:-1], float((total / count)[-1]), mean, scale
 
 
+def shifted(model: tuple, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple:
+    """The model with its bias moved: THRESHOLD is halfway from the 1 - prior quantile of the unlabelled to the lowest positives."""
+    w, b, mean, scale = model
+    v = w / scale
+    cut = (np.quantile(unlabelled @ v, 1 - prior) + np.quantile(positive @ v, LOWEST)) / 2 - float(mean @ v)
+    return w, float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut), mean, scale
+
+
 def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
@@ -125,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = PO
     xp, xu = (matrix([(r.text or "").encode() for r in body.join(F.broadcast(x), "doc_id").orderBy("doc_id", "text").select("text").toLocalIterator()]) for x in (chosen, web))
     if not len(xp) or not len(xu):
         return None
-    return tuple(np.asarray(x, np.float32) if isinstance(x, np.ndarray) else x for x in fit(xp, xu, prior))
+    return tuple(np.asarray(x, np.float32) if isinstance(x, np.ndarray) else x for x in shifted(fit(xp, xu, prior), xp, xu, prior))
 
 
 def scored(docs: DataFrame, model) -> DataFrame:
