@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quillstone.llm import bpe, decontamination, neargroups, quality, substrings
 from quillstone.llm.shared import stored
 
+#: Bytes of a repeated passage, some fifty short words, and of the strings by which passages meet.
+PASSAGE, CORE = 230, 100
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
@@ -20,8 +23,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that stand elsewhere too."""
-    return substrings.cleaned(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Texts without the strings of PASSAGE bytes that stand elsewhere too."""
+    return substrings.cleaned(docs, PASSAGE, CORE).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
