@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import render as R
+from .plugins import Registry
 
 DEPTH = 3
 SRC = "path string, parts array<string>, anchor string, section int, page int, slide int, frame int, sheet string, cell string, para int, ts string, img int, bbox array<double>, unit string, t array<double>, line int"
@@ -38,6 +39,7 @@ class Options:
     shallow: bool = False
     depth: int = DEPTH
     claims: tuple[str, ...] = field(default_factory=tuple)
+    registry: Registry | None = None
 
 
 def settings(*layers: dict) -> dict:
@@ -96,7 +98,7 @@ def claimed(paths: list[str], named: set[str]) -> list[str]:
     return [p for p in paths if p not in gone or p in named]
 
 
-def parsed(items: DataFrame) -> DataFrame:
+def parsed(items: DataFrame, registry: Registry | None = None) -> DataFrame:
     """Rows of PARSED from items (path, parts, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +109,7 @@ def parsed(items: DataFrame) -> DataFrame:
         for pdf in frames:
             for path, parts, content in zip(pdf["path"], pdf["parts"], pdf["content"], strict=True):
                 parts, content = [str(p) for p in parts] if parts is not None else [], bytes(content or b"")
-                got = parse(parts[-1] if parts else os.path.basename(path), content)
+                got = parse(parts[-1] if parts else os.path.basename(path), content, registry)
                 blocks = []
                 for n, (where, text, role) in enumerate(got.blocks):
                     src = dict.fromkeys(FIELDS) | {"path": path} | where
@@ -205,7 +207,7 @@ def read(spark: SparkSession, *paths: str, options: Options | None = None) -> Ru
     level = opened(spark, files)
     every, held = None, []
     for depth in range(o.depth + 1):
-        own = parsed(level).persist()
+        own = parsed(level, o.registry).persist()
         held.append(own)
         every = own.drop("children") if every is None else every.unionByName(own.drop("children"))
         if depth == o.depth or o.shallow:
