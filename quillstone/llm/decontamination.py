@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, SHARE, MOST_SHORT = 8, 0.3, 4
-BROADCAST = 1_000_000
+BROADCAST = 200_000
 UNITS = "km|cm|mm|kg|mg|ml|mph|kmh|kwh|kw|gb|mb|tb|lbs?|oz|ft|miles?|met(?:er|re)s?|centimet(?:er|re)s?|kilomet(?:er|re)s?|grams?|kilograms?|lit(?:er|re)s?|inch(?:es)?|feet|yards?|acres?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|cents?|euros?|pounds?|percent|degrees?|pages?|points?|[mgls]|h"
 NUMBER = r"\d+(?:[.,:/]\d+)*"
 TOKEN = "\u0002?[\\p{L}\\p{M}]+|\u0003|" + NUMBER

@@ -7,7 +7,9 @@ texts share one with probability 1 - 0.2**KEYS. Inside a bucket fingerprints are
 covers the similarity with over three standard deviations to spare; of the pairs within it those pass whose SKETCH smallest
 shingles agree to within four deviations of it, so that texts that share a passage don't. They give stars, not pairs. A
 bucket over BUCKET is first cut by a second of the keys. What the stars connect is a candidate component, a superset of the
-groups in it: its members meet once, with their shingles, where pairs that pass and are not connected yet are verified.
+groups in it: its members meet with their shingles, where pairs that pass and are not connected yet are verified. A component
+over PART members or SHINGLES shingles never meets in one task: its members are dealt into blocks, every two blocks meet in
+a task of their own, and what the tasks find is connected again.
 
 Nulls: a null text counts as empty; texts without words are one group. A null doc_id sorts before all others. Of rows that
 repeat both doc_id and text one stays. Other columns are kept.
@@ -24,6 +26,8 @@ from . import simhash
 from .shared import batches, by_arrow, components, cut, stored, texts_of
 
 KEYS, SKETCH, RADIUS, BUCKET = 6, 64, 20, 2048
+#: Members and shingles of a candidate component, from which it is dealt into blocks.
+PART, SHINGLES = 4096, 4 << 20
 _ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
 
 
@@ -58,23 +62,24 @@ def agreeing(sketches: np.ndarray, similarity: float):
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(dk, tk, node, print, sketch, keys): node is a hash of the set of shingles."""
+    """(dk, tk, node, print, size, sketch, keys): node is a hash of the set of shingles, size their number."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, prints, keys, sketches = [], [], [], []
+        nodes, prints, sizes, keys, sketches = [], [], [], [], []
         for text in texts_of(batch.column(2)):
             hashes = simhash.shingle_hashes(text, k)
             prints.append(simhash.fingerprint(hashes))
             own = np.unique(hashes)
+            sizes.append(len(own))
             mixed = own ^ (own >> np.uint64(31))
             nodes.append(int((mixed * _ODD[0] ^ (mixed * _ODD[1] >> np.uint64(32))).sum(dtype=np.uint64)) if len(own) else 0)
             low = smallest(own)
             sketches.append(pieces(low).tobytes())
             keys.append((low[:KEYS] >> np.uint64(1)).astype(np.int64).tolist())
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(nodes), signed(prints), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["dk", "tk", "node", "print", "sketch", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(nodes), signed(prints), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["dk", "tk", "node", "print", "size", "sketch", "keys"])
 
-    return by_arrow(docs.select("dk", "tk", "text"), work, "dk long, tk long, node long, print long, sketch binary, keys array<long>", 4 << 20)
+    return by_arrow(docs.select("dk", "tk", "text"), work, "dk long, tk long, node long, print long, size long, sketch binary, keys array<long>", 4 << 20)
 
 
 def bucket_stars(radius: int, similarity: float):
@@ -143,46 +148,53 @@ def verified(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity
     return simhash.linked(prints, np.full(len(prints), len(prints)), radius, accept)
 
 
-def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = RADIUS, part: int = PART, shingles: int = SHINGLES) -> DataFrame:
     """(dk, tk, group) of each row of docs (dk, tk, text)."""
     marks = stored(signatures(docs, k), "signatures")
     nodes = marks.groupBy("node").agg(F.first("print").alias("print"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     roots = cut(components(stars(nodes, radius, similarity)))
-    member = marks.groupBy("node").agg(F.min(F.struct("dk", "tk")).alias("who")).join(roots, "node").select("node", F.col("root").alias("part"), "who.dk", "who.tk")
+    member = marks.groupBy("node").agg(F.min(F.struct("dk", "tk")).alias("who"), F.first("size").alias("size")).join(roots, "node").select("node", F.col("root").alias("part"), "size", "who.dk", "who.tk")
+    blocks = member.groupBy("part").agg(F.ceil(F.greatest(F.count(F.lit(1)) / part, F.sum("size") / shingles)).cast("int").alias("blocks"))
+    member = member.join(blocks, "part").select("node", "part", "blocks", "dk", "tk")
     # A row that repeats doc_id and text is read once.
     wanted = docs.select("dk", "tk", "text").join(member, ["dk", "tk"])
 
-    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = [simhash.shingle_hashes(x, k) for x in texts_of(batch.column(2))]
+    def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = [simhash.shingle_hashes(x, k) for x in texts_of(batch.column(3))]
         prints = np.array([simhash.fingerprint(h) for h in hashes], np.uint64).view(np.int64)
         sets = [np.unique(h).view(np.int64) for h in hashes]
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(prints), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["part", "node", "print", "shingles"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["part", "blocks", "node", "print", "shingles"])
 
-    members = by_arrow(wanted.select("node", "part", "text"), shingles, "part long, node long, print long, shingles array<long>", 4 << 20)
+    members = by_arrow(wanted.select("part", "blocks", "node", "text"), shingled, "part long, blocks int, node long, print long, shingles array<long>", 4 << 20)
 
     def run(rows):
-        held: list[tuple[int, int, int, np.ndarray]] = []
+        held: list[tuple[tuple, int, int, np.ndarray]] = []
 
         def solve(part: list) -> pa.RecordBatch:
             own = {x[1]: x for x in part}
             part = [own[x] for x in sorted(own)]
             low = verified(np.array([x[2] for x in part], np.int64).view(np.uint64), [x[3].view(np.uint64) for x in part], radius, similarity)
-            return pa.RecordBatch.from_arrays([pa.array([x[1] for x in part], pa.int64()), pa.array([part[r][1] for r in low], pa.int64())], ["node", "group"])
+            return pa.RecordBatch.from_arrays([pa.array([x[1] for x in part], pa.int64()), pa.array([part[r][1] for r in low], pa.int64()), pa.array([part[0][0][1] >= 0] * len(part))], ["a", "b", "dealt"])
 
         for batch in batches(rows, 8 << 20):
-            lists = batch.column(3)
+            lists = batch.column(5)
             flat, ends = lists.flatten().to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            for n, (part, node, mark) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-                if held and held[0][0] != part:
+            keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
+            for n, (key, node, mark) in enumerate(zip(keys, *(batch.column(c).to_pylist() for c in (3, 4)), strict=True)):
+                if held and held[0][0] != key:
                     yield solve(held)
                     held = []
-                held.append((part, node, mark, flat[ends[n] : ends[n + 1]].copy()))
+                held.append((key, node, mark, flat[ends[n] : ends[n + 1]].copy()))
         if held:
             yield solve(held)
 
-    solved = members.repartition("part").sortWithinPartitions("part", "node").mapInArrow(run, "node long, group long")
-    solved = stored(solved.where("node <> group"), "groups")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))))
+    met = members.select("part", F.explode(pairs).alias("p"), "node", "print", "shingles").select("part", "p.i", "p.j", "node", "print", "shingles")
+    solved = stored(met.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node").mapInArrow(run, "a long, b long, dealt boolean").where("a <> b"), "groups")
+    whole = solved.where("not dealt").select(F.col("a").alias("node"), F.col("b").alias("group"))
+    solved = cut(whole.union(components(solved.where("dealt").select("a", "b")).select("node", F.col("root").alias("group"))))
     return marks.select("dk", "tk", "node").join(solved, "node", "left").select("dk", "tk", F.coalesce("group", "node").alias("group"))
 
 

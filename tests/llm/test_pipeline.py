@@ -80,3 +80,16 @@ def test_stages(spark):
     texts = {r.doc_id: r.text for r in last.collect()}
     for r in docs.collect():
         assert r.ids == library.encode_ordinary(texts[r.doc_id] or "") and r.n_tokens == len(r.ids)
+
+
+def test_groups_in_blocks(spark):
+    """A candidate component of more members or shingles than a task takes gives the same groups."""
+    texts = near_corpus(7)
+    docs = neargroups.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = brute(texts)
+    for options in ({"part": 2}, {"shingles": 300}):
+        rows = neargroups.groups(docs, **options).collect()
+        first = {}
+        for r in sorted(rows, key=lambda r: r.dk):
+            first.setdefault(r.group, r.dk)
+        assert [first[r.group] for r in sorted(rows, key=lambda r: r.dk)] == want
