@@ -78,3 +78,17 @@ def test_consensus_of_a_reader_that_reads_nothing(spark):
     boxes = spark.createDataFrame([(1, "b", 0, "7 apples", [1.0, 2.0, 3.0, 4.0])], "item int, engine string, box_no int, text string, bbox array<double>")
     row = consensus.verdicts(boxes, ["item"], readers).first()
     assert not row.agreed and [c.n for c in row.counts] == [0, 1] and row.bbox == [1.0, 2.0, 3.0, 4.0]
+
+
+def test_placement_of_many_items(spark):
+    """Items that share a task and a batch keep apart; the result is that of each item alone; an empty table gives no rows."""
+    rnd = random.Random(5)
+    rows = [(i, rnd.random() < 0.4, n, rnd.choice([None, 1, 2, 3]), None, rnd.choice([None, "S1", "S2"]), rnd.choice([None, 4, 9]), None) for i in range(40) for n in range(rnd.randint(1, 12))]
+    df = spark.createDataFrame(rows, "item long, extra boolean, n long, page int, slide int, sheet string, para int, line int")
+    got = {}
+    for r in ordered.placement(df, "item").orderBy("item", "pos").collect():
+        got.setdefault(r["item"], []).append((r["extra"], r["n"]))
+    for i in range(40):
+        body, extra = ([r for r in rows if r[0] == i and r[1] is e] for e in (False, True))
+        assert got[i] == [(bool(e), (extra if e else body)[n][2]) for e, n in ordered.placed([r[3:] for r in body], [r[3:] for r in extra])]
+    assert ordered.placement(df.limit(0), "item").count() == 0
