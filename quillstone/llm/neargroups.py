@@ -1,11 +1,11 @@
-"""Groups of near-duplicate texts: SimHash candidates, verified by the similarity of their word shingles.
+"""Groups of near-duplicate texts: candidates by smallest shingles, verified by the similarity of their word shingles.
 
 Two texts link if the Jaccard similarity of their sets of k-word shingles is `similarity` or more; a group is what links
-reach. Texts of equal shingle sets count once. At a similarity of 0.8 fingerprints differ in some ten bits, so that blocks
-of equal bits no longer find them; the buckets are the smallest shingles under KEYS hashes instead, of which two such
-texts share one with probability 1 - 0.2**KEYS. Inside a bucket fingerprints are compared bit-sliced within a radius that
-covers the similarity with over three standard deviations to spare; of the pairs within it those pass whose SKETCH smallest
-shingles agree to within four deviations of it, so that texts that share a passage don't. They give stars, not pairs. A
+reach. Texts of equal shingle sets count once. At a similarity of 0.8 blocks of equal bits of
+fingerprints no longer find them; the buckets are the smallest shingles under KEYS hashes instead, of which two such
+texts share one with probability 1 - 0.2**KEYS. Inside a bucket those pairs pass whose sizes and counts of shingles by BINS
+bins allow the similarity: the smaller counts of each bin add up to at least what two sets have in common, so that no pair of
+the similarity is left out, whatever their fingerprints. They give stars, not pairs. A
 bucket over BUCKET is first cut by a second of the keys. What the stars connect is a candidate component, a superset of the
 groups in it: its members meet with their shingles, where pairs that pass and are not connected yet are verified. A component
 over PART members or SHINGLES shingles never meets in one task: its members are dealt into blocks, every two blocks meet in
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from . import simhash
 from .shared import batches, by_arrow, components, cut, stored, texts_of
 
-KEYS, SKETCH, RADIUS, BUCKET = 6, 64, 20, 2048
+KEYS, BINS, BUCKET = 6, 256, 2048
 #: Members and shingles of a candidate component, from which it is dealt into blocks.
 PART, SHINGLES = 4096, 4 << 20
-_ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
+_ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, KEYS + 1, dtype=np.uint64) | np.uint64(1)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -36,61 +36,76 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def smallest(own: np.ndarray) -> np.ndarray:
-    """The smallest of the shingles under each of SKETCH hashes."""
-    out = np.full(SKETCH, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    """The smallest of the shingles under each of KEYS hashes."""
+    out = np.full(KEYS, 0xFFFFFFFFFFFFFFFF, np.uint64)
     for at in range(0, len(own), 1 << 13):
-        np.minimum(out, (own[at : at + (1 << 13), None] * _ODD).min(0), out=out)
+        np.minimum(out, (own[at : at + (1 << 13), None] * _ODD[:KEYS]).min(0), out=out)
     return out
 
 
-def pieces(low: np.ndarray) -> np.ndarray:
-    """Sixteen bits of each of the smallest."""
-    return ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
+def binned(own: np.ndarray) -> np.ndarray:
+    """How many of the shingles fall into each bin; 255 stands for any number from there."""
+    return np.bincount((own * _ODD[-1] >> np.uint64(32)).astype(np.int64) % BINS, minlength=BINS).clip(0, 255).astype(np.uint8)
 
 
-def agreeing(sketches: np.ndarray, similarity: float):
-    """accept() for pairs whose sketches agree about as often as those of similar texts do."""
-    least = SKETCH * similarity - 4 * (SKETCH * similarity * (1 - similarity)) ** 0.5
+def possible(sizes: np.ndarray, bins: np.ndarray, similarity: float):
+    """accept() for all pairs that may have the similarity; it never rejects one that has."""
+    full = (bins == 255).any(1)
 
     def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        out = np.empty(len(i), bool)
-        for at in range(0, len(i), 1 << 15):
-            out[at : at + (1 << 15)] = (sketches[i[at : at + (1 << 15)]] == sketches[j[at : at + (1 << 15)]]).sum(1) >= least
+        out = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-6
+        left = np.flatnonzero(out & ~(full[i] & full[j]))
+        for at in range(0, len(left), 1 << 14):
+            n = left[at : at + (1 << 14)]
+            most = np.minimum(bins[i[n]], bins[j[n]]).sum(1, dtype=np.uint32)
+            out[n] = (1 + similarity) * most >= similarity * (sizes[i[n]] + sizes[j[n]]) - 1e-6
         return out
 
     return accept
 
 
+def linked(ends: np.ndarray, accept) -> np.ndarray:
+    """The smallest place that each place reaches over pairs i < j < ends[i] that accept(i, j) lets pass; pairs connected already are left out."""
+    n = len(ends)
+    root, going, d = np.arange(n), np.arange(n), 0
+    while len(going):
+        d += 1
+        going = going[going + d < ends[going]]
+        i = going[root[going] != root[going + d]]
+        if len(i):
+            i = i[accept(i, i + d)]
+        if len(i):
+            root = simhash.lowest(n, np.concatenate([i, np.arange(n)]), np.concatenate([i + d, root]))
+    return root
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(dk, tk, node, print, size, sketch, keys): node is a hash of the set of shingles, size their number."""
+    """(dk, tk, node, size, bins, keys): node is a hash of the set of shingles, size their number."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, prints, sizes, keys, sketches = [], [], [], [], []
+        nodes, sizes, keys, bins = [], [], [], []
         for text in texts_of(batch.column(2)):
-            hashes = simhash.shingle_hashes(text, k)
-            prints.append(simhash.fingerprint(hashes))
-            own = np.unique(hashes)
+            own = np.unique(simhash.shingle_hashes(text, k))
             sizes.append(len(own))
             mixed = own ^ (own >> np.uint64(31))
             nodes.append(int((mixed * _ODD[0] ^ (mixed * _ODD[1] >> np.uint64(32))).sum(dtype=np.uint64)) if len(own) else 0)
-            low = smallest(own)
-            sketches.append(pieces(low).tobytes())
-            keys.append((low[:KEYS] >> np.uint64(1)).astype(np.int64).tolist())
+            bins.append(binned(own).tobytes())
+            keys.append((smallest(own) >> np.uint64(1)).astype(np.int64).tolist())
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(nodes), signed(prints), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["dk", "tk", "node", "print", "size", "sketch", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(nodes), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["dk", "tk", "node", "size", "bins", "keys"])
 
-    return by_arrow(docs.select("dk", "tk", "text"), work, "dk long, tk long, node long, print long, size long, sketch binary, keys array<long>", 4 << 20)
+    return by_arrow(docs.select("dk", "tk", "text"), work, "dk long, tk long, node long, size long, bins binary, keys array<long>", 4 << 20)
 
 
-def bucket_stars(radius: int, similarity: float):
-    """mapInArrow worker over rows (bucket, print, node, sketch) sorted by bucket: stars (a, b) of what passes."""
+def bucket_stars(similarity: float):
+    """mapInArrow worker over rows (bucket, size, node, bins) sorted by bucket: stars (a, b) of what passes."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        buckets, prints, nodes = (table.column(k).to_numpy() for k in range(3))
-        sketches = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint16).reshape(-1, SKETCH)
+        buckets, size, nodes = (table.column(k).to_numpy() for k in range(3))
+        bins = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint8).reshape(-1, BINS)
         starts = np.concatenate([[0], np.flatnonzero(np.diff(buckets)) + 1])
         sizes = np.diff(np.concatenate([starts, [len(buckets)]]))
-        root = simhash.linked(prints.view(np.uint64), np.repeat(starts + sizes, sizes), radius, agreeing(sketches, similarity))
+        root = linked(np.repeat(starts + sizes, sizes), possible(size, bins, similarity))
         far = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], ["a", "b"])
 
@@ -117,42 +132,40 @@ def bucket_stars(radius: int, similarity: float):
     return run
 
 
-def stars(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Edges (a, b) of the candidate components of (node, print, sketch, keys)."""
-    rows = nodes.select("node", "print", "sketch", "keys", F.posexplode("keys").alias("place", "key")).withColumn("bucket", F.xxhash64("place", "key"))
+def stars(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of the candidate components of (node, size, bins, keys)."""
+    rows = nodes.select("node", "size", "bins", "keys", F.posexplode("keys").alias("place", "key")).withColumn("bucket", F.xxhash64("place", "key"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = rows.join(sizes, "bucket")
-    small = shared.where(F.col("n") <= BUCKET).select("bucket", "print", "node", "sketch")
-    finer = shared.where(F.col("n") > BUCKET).select("bucket", "place", "print", "node", "sketch", F.posexplode("keys").alias("other", "key")).where("other <> place").select(F.xxhash64("bucket", "other", "key").alias("bucket"), "print", "node", "sketch")
+    small = shared.where(F.col("n") <= BUCKET).select("bucket", "size", "node", "bins")
+    finer = shared.where(F.col("n") > BUCKET).select("bucket", "place", "size", "node", "bins", F.posexplode("keys").alias("other", "key")).where("other <> place").select(F.xxhash64("bucket", "other", "key").alias("bucket"), "size", "node", "bins")
     counts = finer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("m")).where("n > 1")
     both = finer.join(counts, "bucket")
     joined = both.where((F.col("n") > BUCKET) & (F.col("node") != F.col("m"))).select(F.col("node").alias("a"), F.col("m").alias("b"))
-    every = small.union(both.where(F.col("n") <= BUCKET).select("bucket", "print", "node", "sketch"))
-    return every.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(bucket_stars(radius, similarity), "a long, b long").union(joined)
+    every = small.union(both.where(F.col("n") <= BUCKET).select("bucket", "size", "node", "bins"))
+    return every.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(bucket_stars(similarity), "a long, b long").union(joined)
 
 
-def verified(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
+def verified(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """The smallest place that each member reaches over pairs of the similarity."""
-    passes = agreeing(np.stack([pieces(smallest(s)) for s in sets]), similarity)
+    passes = possible(np.array([len(s) for s in sets]), np.stack([binned(s) for s in sets]), similarity)
 
     def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = passes(i, j)
         for n in np.flatnonzero(out).tolist():
             p, q = sets[i[n]], sets[j[n]]
-            common = 0
-            if min(len(p), len(q)) >= similarity * max(len(p), len(q)):
-                common = len(np.intersect1d(p, q, assume_unique=True))
+            common = len(np.intersect1d(p, q, assume_unique=True))
             out[n] = common >= similarity * (len(p) + len(q) - common)
         return out
 
-    return simhash.linked(prints, np.full(len(prints), len(prints)), radius, accept)
+    return linked(np.full(len(sets), len(sets)), accept)
 
 
-def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = RADIUS, part: int = PART, shingles: int = SHINGLES) -> DataFrame:
+def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, part: int = PART, shingles: int = SHINGLES) -> DataFrame:
     """(dk, tk, group) of each row of docs (dk, tk, text)."""
     marks = stored(signatures(docs, k), "signatures")
-    nodes = marks.groupBy("node").agg(F.first("print").alias("print"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    roots = cut(components(stars(nodes, radius, similarity)))
+    nodes = marks.groupBy("node").agg(F.first("size").alias("size"), F.first("bins").alias("bins"), F.first("keys").alias("keys"))
+    roots = cut(components(stars(nodes, similarity)))
     member = marks.groupBy("node").agg(F.min(F.struct("dk", "tk")).alias("who"), F.first("size").alias("size")).join(roots, "node").select("node", F.col("root").alias("part"), "size", "who.dk", "who.tk")
     blocks = member.groupBy("part").agg(F.ceil(F.greatest(F.count(F.lit(1)) / part, F.sum("size") / shingles)).cast("int").alias("blocks"))
     member = member.join(blocks, "part").select("node", "part", "blocks", "dk", "tk")
@@ -161,37 +174,36 @@ def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = R
 
     def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes = [simhash.shingle_hashes(x, k) for x in texts_of(batch.column(3))]
-        prints = np.array([simhash.fingerprint(h) for h in hashes], np.uint64).view(np.int64)
         sets = [np.unique(h).view(np.int64) for h in hashes]
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["part", "blocks", "node", "print", "shingles"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["part", "blocks", "node", "shingles"])
 
-    members = by_arrow(wanted.select("part", "blocks", "node", "text"), shingled, "part long, blocks int, node long, print long, shingles array<long>", 4 << 20)
+    members = by_arrow(wanted.select("part", "blocks", "node", "text"), shingled, "part long, blocks int, node long, shingles array<long>", 4 << 20)
 
     def run(rows):
-        held: list[tuple[tuple, int, int, np.ndarray]] = []
+        held: list[tuple[tuple, int, np.ndarray]] = []
 
         def solve(part: list) -> pa.RecordBatch:
             own = {x[1]: x for x in part}
             part = [own[x] for x in sorted(own)]
-            low = verified(np.array([x[2] for x in part], np.int64).view(np.uint64), [x[3].view(np.uint64) for x in part], radius, similarity)
+            low = verified([x[2].view(np.uint64) for x in part], similarity)
             return pa.RecordBatch.from_arrays([pa.array([x[1] for x in part], pa.int64()), pa.array([part[r][1] for r in low], pa.int64()), pa.array([part[0][0][1] >= 0] * len(part))], ["a", "b", "dealt"])
 
         for batch in batches(rows, 8 << 20):
-            lists = batch.column(5)
+            lists = batch.column(4)
             flat, ends = lists.flatten().to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
-            for n, (key, node, mark) in enumerate(zip(keys, *(batch.column(c).to_pylist() for c in (3, 4)), strict=True)):
+            for n, (key, node) in enumerate(zip(keys, batch.column(3).to_pylist(), strict=True)):
                 if held and held[0][0] != key:
                     yield solve(held)
                     held = []
-                held.append((key, node, mark, flat[ends[n] : ends[n + 1]].copy()))
+                held.append((key, node, flat[ends[n] : ends[n + 1]].copy()))
         if held:
             yield solve(held)
 
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))))
-    met = members.select("part", F.explode(pairs).alias("p"), "node", "print", "shingles").select("part", "p.i", "p.j", "node", "print", "shingles")
+    met = members.select("part", F.explode(pairs).alias("p"), "node", "shingles").select("part", "p.i", "p.j", "node", "shingles")
     solved = stored(met.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node").mapInArrow(run, "a long, b long, dealt boolean").where("a <> b"), "groups")
     whole = solved.where("not dealt").select(F.col("a").alias("node"), F.col("b").alias("group"))
     solved = cut(whole.union(components(solved.where("dealt").select("a", "b")).select("node", F.col("root").alias("group"))))

@@ -93,3 +93,17 @@ def test_groups_in_blocks(spark):
         for r in sorted(rows, key=lambda r: r.dk):
             first.setdefault(r.group, r.dk)
         assert [first[r.group] for r in sorted(rows, key=lambda r: r.dk)] == want
+
+
+def test_groups_of_repeated_lines(spark):
+    """A line repeated differently often leaves the set of shingles as it is, but not the fingerprint."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6)))
+    texts = []
+    for _ in range(20):
+        body, line = " ".join(word() for _ in range(80)), " ".join(word() for _ in range(15))
+        texts += [f"{body} {line}", f"{body} " + " ".join([line] * 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(texts)
+    assert len(set(want)) == 20
+    assert sorted(r.doc_id for r in neargroups.thinned(docs).collect()) == sorted(set(want))
