@@ -6,7 +6,7 @@ fingerprints no longer find them; the buckets are the smallest shingles under KE
 texts share one with probability 1 - 0.2**KEYS. Inside a bucket those pairs pass whose sizes and counts of shingles by BINS
 bins allow the similarity: the smaller counts of each bin add up to at least what two sets have in common, so that no pair of
 the similarity is left out, whatever their fingerprints. They give stars, not pairs. A
-bucket over BUCKET is first cut by a second of the keys. What the stars connect is a candidate component, a superset of the
+bucket over BUCKET is dealt into blocks, every two of which meet as a bucket of their own. What the stars connect is a candidate component, a superset of the
 groups in it: its members meet with their shingles, where pairs that pass and are not connected yet are verified. A component
 over PART members or SHINGLES shingles never meets in one task: its members are dealt into blocks, every two blocks meet in
 a task of their own, and what the tasks find is connected again.
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -132,18 +132,19 @@ def bucket_stars(similarity: float):
     return run
 
 
+def block_pairs(node: str, blocks: str) -> Column:
+    """The pairs (i, j) of blocks that the block of a node is in; every two nodes are in one of them together."""
+    own = F.pmod(F.xxhash64(node), F.col(blocks)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
+
+
 def stars(nodes: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) of the candidate components of (node, size, bins, keys)."""
-    rows = nodes.select("node", "size", "bins", "keys", F.posexplode("keys").alias("place", "key")).withColumn("bucket", F.xxhash64("place", "key"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = rows.join(sizes, "bucket")
-    small = shared.where(F.col("n") <= BUCKET).select("bucket", "size", "node", "bins")
-    finer = shared.where(F.col("n") > BUCKET).select("bucket", "place", "size", "node", "bins", F.posexplode("keys").alias("other", "key")).where("other <> place").select(F.xxhash64("bucket", "other", "key").alias("bucket"), "size", "node", "bins")
-    counts = finer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("m")).where("n > 1")
-    both = finer.join(counts, "bucket")
-    joined = both.where((F.col("n") > BUCKET) & (F.col("node") != F.col("m"))).select(F.col("node").alias("a"), F.col("m").alias("b"))
-    every = small.union(both.where(F.col("n") <= BUCKET).select("bucket", "size", "node", "bins"))
-    return every.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(bucket_stars(similarity), "a long, b long").union(joined)
+    rows = nodes.select("node", F.posexplode("keys").alias("place", "key")).select("node", F.xxhash64("place", "key").alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks"))
+    shared = rows.join(sizes, "bucket").select("node", F.explode(F.when(F.col("blocks") == 1, F.array("bucket")).otherwise(F.transform(block_pairs("node", "blocks"), lambda p: F.xxhash64("bucket", p["i"], p["j"])))).alias("bucket"))
+    every = shared.join(nodes.select("node", "size", "bins"), "node").select("bucket", "size", "node", "bins")
+    return every.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(bucket_stars(similarity), "a long, b long")
 
 
 def verified(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -201,8 +202,7 @@ def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, part: int = PAR
         if held:
             yield solve(held)
 
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))))
+    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(block_pairs("node", "blocks"))
     met = members.select("part", F.explode(pairs).alias("p"), "node", "shingles").select("part", "p.i", "p.j", "node", "shingles")
     solved = stored(met.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node").mapInArrow(run, "a long, b long, dealt boolean").where("a <> b"), "groups")
     whole = solved.where("not dealt").select(F.col("a").alias("node"), F.col("b").alias("group"))

@@ -107,3 +107,13 @@ def test_groups_of_repeated_lines(spark):
     want = brute(texts)
     assert len(set(want)) == 20
     assert sorted(r.doc_id for r in neargroups.thinned(docs).collect()) == sorted(set(want))
+
+
+def test_crowded_bucket_of_one_key(spark, monkeypatch):
+    """Texts that share only the key of a crowded bucket are compared."""
+    monkeypatch.setattr(neargroups, "KEYS", 1)
+    monkeypatch.setattr(neargroups, "BUCKET", 3)
+    rnd = random.Random(6)
+    base = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join([*base, f"end{i}"])) for i in range(12)], "doc_id long, text string")
+    assert [r.doc_id for r in neargroups.thinned(docs).collect()] == [0]
