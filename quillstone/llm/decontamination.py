@@ -4,7 +4,8 @@ A text is canonicalised: numbers, names (capitalised words inside a sentence) an
 placeholders, other words lower case. Windows of WINDOW template tokens of all documents are joined by hash, and compared
 in full, with those of the benchmark; a benchmark item shorter than that is one window of its own length. What the
 placeholders stood for must be consistent: along one alignment of an item with a document, every value of the item has
-one value in the document. A document holds an item if consistent windows cover SHARE of the item's windows; `changed`
+one value in the document. A document holds an item if consistent windows cover SHARE of the item's windows, or if it has RUN
+of the item's words in a row, value by value, whatever their share and the rest of the alignment; `changed`
 tells if values differ, that is if the question was given other parameters.
 
 Windows with fewer than half of their tokens in plain words are not used, as "0 0 0 0" says nothing; an item that has
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 WINDOW, SHARE, MOST_SHORT = 8, 0.3, 4
 BROADCAST = 200_000
+#: Words in a row, the same word for word, that are enough by themselves.
+RUN = 20
 UNITS = "km|cm|mm|kg|mg|ml|mph|kmh|kwh|kw|gb|mb|tb|lbs?|oz|ft|miles?|met(?:er|re)s?|centimet(?:er|re)s?|kilomet(?:er|re)s?|grams?|kilograms?|lit(?:er|re)s?|inch(?:es)?|feet|yards?|acres?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|cents?|euros?|pounds?|percent|degrees?|pages?|points?|[mgls]|h"
 NUMBER = r"\d+(?:[.,:/]\d+)*"
 TOKEN = "\u0002?[\\p{L}\\p{M}]+|\u0003|" + NUMBER
@@ -100,6 +103,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     return every
 
 
+def longest_run(places: Column, width: int) -> Column:
+    """Tokens in the longest stretch that windows at these sorted places cover without a gap."""
+    step = lambda a, x: F.struct(F.when(x - a["last"] <= width, a["first"]).otherwise(x).alias("first"), x.alias("last"), F.greatest(a["best"], F.when(x - a["last"] <= width, x - a["first"]).otherwise(0) + width).alias("best"))
+    start = F.struct(F.lit(-1 - width).alias("first"), F.lit(-1 - width).alias("last"), F.lit(0).alias("best"))
+    return F.aggregate(places, start, step, lambda a: a["best"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(doc_id, doc_key, item_id, n_windows, item_windows, share, changed) of the documents that hold an item."""
     found = matches(docs, benchmark, window)
@@ -109,11 +119,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
         return spark.createDataFrame([], kinds)
     items, _ = items_of(benchmark, window)
     sizes = items.groupBy("item_key").agg(F.count_distinct("item_at").alias("item_windows"))
-    along = found.groupBy("doc_id", "doc_key", "item_id", "item_key", "line").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    along = along.where(F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item"))))
-    along = along.withColumn("changed", F.exists("pairs", lambda p: ~F.endswith(p["item"], F.concat(F.lit("="), p["doc"]))))
-    whole = along.groupBy("doc_id", "doc_key", "item_id", "item_key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.max("changed").alias("changed"))
-    out = whole.join(sizes, "item_key").withColumn("share", F.col("n_windows") / F.col("item_windows")).where(F.col("share") >= share)
+    other = lambda p: ~F.endswith(p["item"], F.concat(F.lit("="), p["doc"]))
+    along = found.groupBy("doc_id", "doc_key", "item_id", "item_key", "line").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.sort_array(F.collect_set(F.when(~F.exists("pairs", other), F.col("item_at")))).alias("verbatim"))
+    along = along.withColumns({"agrees": F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item"))), "run": longest_run(F.col("verbatim"), window)})
+    along = along.where(F.col("agrees") | (F.col("run") >= RUN)).withColumn("places", F.when(F.col("agrees"), F.col("places")).otherwise(F.col("verbatim")))
+    along = along.withColumn("changed", F.col("agrees") & F.exists("pairs", other))
+    whole = along.groupBy("doc_id", "doc_key", "item_id", "item_key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.max("changed").alias("changed"), F.max("run").alias("run"))
+    out = whole.join(sizes, "item_key").withColumn("share", F.col("n_windows") / F.col("item_windows")).where((F.col("share") >= share) | (F.col("run") >= RUN))
     return out.select("doc_id", "doc_key", "item_id", "n_windows", "item_windows", "share", "changed")
 
 

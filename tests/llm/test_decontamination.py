@@ -52,3 +52,16 @@ def test_shuffled_join_is_the_same(spark, monkeypatch):
     one = sorted(map(tuple, dec.contaminated(docs, items).collect()))
     monkeypatch.setattr(dec, "BROADCAST", 0)
     assert sorted(map(tuple, dec.contaminated(docs, items).collect())) == one
+
+
+def test_long_verbatim_run(spark):
+    """Twenty words in a row are enough, in a small share of a long item or beside a value that differs."""
+    words = [f"{a}{b}" for a in ("al", "bor", "cim", "dun", "ek", "fur", "gil", "hom") for b in ("a", "eth", "ion", "ost", "ume", "yr", "ax", "ib")]
+    long = " ".join(words[:59])
+    part = " ".join(words[10:32])
+    twice = f"he had 12 {' '.join(words[:20])} and then 12 more of them than anybody here"
+    docs = [(1, f"zz {part} zz"), (2, twice.replace("then 12", "then 99")), (3, " ".join(words[10:28])), (4, "nothing of it")]
+    bench = spark.createDataFrame([(0, long), (1, twice)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in dec.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert (1, 0) in found and (2, 1) in found and found[1, 0].n_windows == 15
+    assert not {3, 4} & {d for d, _ in found}
