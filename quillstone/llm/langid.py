@@ -5,7 +5,7 @@ lexicon feature (the word itself, where training saw it often enough). Emission
 together by the gradient of the sequence likelihood, on segments of labelled texts, a part of them spliced from two
 languages, so that the chain learns what a switch costs. A text is labelled word by word by forward-backward; its
 language is the one of the largest summed marginal, its score that sum's share. Training uses at most ROWS texts of each
-language, those of the smallest hashes of their ids, and at most SEGMENTS segments of each. Scoring reads whole texts.
+language, those of the smallest hashes of their ids, and at most SEGMENTS segments of each; texts under a segment are joined. Scoring reads whole texts.
 
 Nulls and texts without a letter are `und` with score 0. Rows with a null doc_id are scored and not learned from. Rows
 repeated come out as often as they came in; other columns are ignored; where nothing can be learned all is `und`.
@@ -138,6 +138,14 @@ def fit(texts: list[str], marks: list[str], rounds: int = 40, rate: float = 0.3,
         cuts = list(range(a, b - LENGTH + 1, LENGTH))
         for c in rng.permutation(cuts)[:SEGMENTS] if cuts else []:
             parts[labels.index(marks[n])].append(ids[c : c + LENGTH])
+    # Texts under a segment are learned from together: their words, language by language, the last segment filled up from the first.
+    short: dict[int, list[np.ndarray]] = {}
+    for n, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
+        if 0 < b - a < LENGTH:
+            short.setdefault(labels.index(marks[n]), []).append(ids[a:b])
+    for k, own in short.items():
+        joined = np.concatenate(own)
+        parts[k].extend(np.resize(joined, -(-len(joined) // LENGTH) * LENGTH).reshape(-1, LENGTH))
     rows = [(s, np.full(LENGTH, k)) for k, own in parts.items() for s in own]
     if not rows:
         return None

@@ -55,3 +55,10 @@ def test_marginals_against_all_paths():
             total += p
             want += p * np.bincount(path, minlength=3)
         assert np.allclose(got[n], want / total if total else want, atol=1e-4)
+
+
+def test_short_texts_are_learned_from(spark):
+    rows = [(i, f"the house and the garden {'abcdefgh'[i % 8]}", "en") for i in range(60)] + [(100 + i, f"das haus und der garten {'abcdefgh'[i % 8]}", "de") for i in range(60)]
+    rows += [(900, "the house and the garden", None), (901, "das haus und der garten", None)]
+    found = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (found[900], found[901]) == ("en", "de")
