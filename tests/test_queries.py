@@ -59,3 +59,8 @@ def test_queries_without_sql_run(spark):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_glyph_lines_takes_every_order(spark):
+    pages = entry.queries()["glyph_lines"](spark, SF).select("page").distinct().count()
+    assert pages == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
