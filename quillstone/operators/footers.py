@@ -40,8 +40,8 @@ def footer_profile(groups: DataFrame) -> DataFrame:
     """Least, most and nulls of each column; blank where a row group has no statistics."""
     whole = F.every("has_stats")
     numeric = F.max("low_number").isNotNull()
-    low = F.when(numeric, F.min("low_number").cast("string")).otherwise(F.min("low"))
-    high = F.when(numeric, F.max("high_number").cast("string")).otherwise(F.max("high"))
+    low = F.when(numeric, (F.min("low_number") + 0.0).cast("string")).otherwise(F.min("low"))
+    high = F.when(numeric, (F.max("high_number") + 0.0).cast("string")).otherwise(F.max("high"))
     return groups.groupBy("column_name").agg(F.when(whole, low).alias("low"), F.when(whole, high).alias("high"), F.when(F.every(F.col("nulls").isNotNull()), F.sum("nulls")).alias("nulls"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,7 +65,6 @@ def capped(rows: DataFrame, group: str, order: list[str], repeat: str, n: int) -
     return few.unionByName(spread(many, [group, repeat], order, share).drop("place")).drop("fresh", "total")
 
 
-def grid(start: float, end: float, step: float, spark) -> DataFrame:
-    """S129: instants from start up to end."""
-    count = int(np.floor((end - start) / step)) + 1
-    return spark.range(count).select("id", (F.lit(start) + F.col("id") * step).alias("t"))
+def instants(start: Column, end: Column, step: float) -> Column:
+    """S129: an array of the instants from start, a step apart, up to end."""
+    return F.transform(F.sequence(F.lit(0), F.floor((end - start) / step).cast("int")), lambda k: start + k * step)

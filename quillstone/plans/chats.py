@@ -16,7 +16,7 @@ ORACLES = {}
 
 def chat_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as lines of the dialects: a day line before turn 0, then messages."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 30).alias("said"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.replace("text", F.lit("\n"), F.lit(" ")).alias("said"))
     d, h, m = F.col("conv_id") % 28 + 1, F.col("turn") % 12 + 1, F.col("conv_id") % 60
     mm = F.lpad(m.cast("string"), 2, "0")
     text = (
@@ -35,7 +35,7 @@ def chat_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["chat_messages"] = chat_messages
-ORACLES["chat_messages"] = r"""with c as (select conv_id, turn, role, rtrim(substr(replace(text, chr(10), ' '), 1, 30), ' ') as said, conv_id % 28 + 1 as d, turn % 12 + 1 as h, conv_id % 60 as m from conversations)
+ORACLES["chat_messages"] = r"""with c as (select conv_id, turn, role, rtrim(replace(text, chr(10), ' '), ' ') as said, conv_id % 28 + 1 as d, turn % 12 + 1 as h, conv_id % 60 as m from conversations)
 select conv_id, turn,
  case conv_id % 4 when 0 then case when exists (select 1 from conversations z where z.conv_id = c.conv_id and z.turn = 0) then printf('2022-03-%02d %02d:%02d', d, h % 12 + case when turn % 2 = 0 then 0 else 12 end, m) end
   when 1 then printf('2021-12-%02d %02d:%02d', d, h % 12 + 12, m) when 2 then printf('2014-12-%02d %02d:%02d', d, h, m) else printf('2021-12-%02d %02d:%02d', d, h % 12, m) end as stamp,
@@ -81,12 +81,12 @@ def mention_rewrite(spark: SparkSession, sf: str) -> DataFrame:
     names = F.create_map(F.lit("U1"), F.lit("Ann"), F.lit("C1"), F.lit("general"))
     kinds = ["<@U1>", "<@U2|Bob>", "<@U3>", "<#C1>", "<#C1|news>", "<!here>", "<!subteam^S1|@team>", "<http://x.org|site>", "&lt;b&gt; &amp;"]
     c = table(spark, sf, "conversations")
-    text = F.concat(F.substring(F.translate("text", "<>&", ""), 1, 20), F.lit(" "), F.element_at(F.array(*map(F.lit, kinds)), (F.col("turn") % 9 + 1).cast("int")), F.lit(" <@U1>"))
+    text = F.concat(F.translate("text", "<>&", ""), F.lit(" "), F.element_at(F.array(*map(F.lit, kinds)), (F.col("turn") % 9 + 1).cast("int")), F.lit(" <@U1>"))
     return c.select("conv_id", "turn", C.renamed(text, names).alias("text"))
 
 
 QUERIES["mention_rewrite"] = mention_rewrite
-ORACLES["mention_rewrite"] = "select conv_id, turn, substr(translate(text, '<>&', ''), 1, 20) || ' ' || ['@Ann', '@Bob', '@U3', '#general', '#news', '@here', '@@team', 'site', '<b> &'][turn % 9 + 1] || ' @Ann' as text from conversations"
+ORACLES["mention_rewrite"] = "select conv_id, turn, translate(text, '<>&', '') || ' ' || ['@Ann', '@Bob', '@U3', '#general', '#news', '@here', '@@team', 'site', '<b> &'][turn % 9 + 1] || ' @Ann' as text from conversations"
 
 
 def carry_forward(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,12 +133,18 @@ ORACLES["cue_times"] = "select event_id, (event_id % 3) * 3600 + (event_id % 60)
 def rolling_captions(spark: SparkSession, sf: str) -> DataFrame:
     """Captions that roll, merged."""
     c = table(spark, sf, "conversations").withColumn("first", F.first("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    said = F.when(F.col("turn") % 3 == 1, F.concat(F.substring("first", 1, 40), F.lit(" "), F.substring("text", 1, 20))).otherwise(F.substring("first", 1, 40))
+    said = F.when(F.col("turn") % 3 == 1, F.concat("first", F.lit(" "), "text")).otherwise(F.col("first"))
     own = c.select("conv_id", F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"), said.alias("text"))
     return C.rolling_captions(own, "conv_id", "start", "end", "text")
 
 
 QUERIES["rolling_captions"] = rolling_captions
+ORACLES["rolling_captions"] = """with recursive c as (select conv_id, turn, text, first_value(text) over (partition by conv_id order by turn) as first, row_number() over (partition by conv_id order by turn, turn + 1) as n from conversations),
+s as (select conv_id, n, turn::double as start, (turn + 1)::double as "end", coalesce(case when turn % 3 = 1 then first || ' ' || text else first end, '') as said from c),
+r as (select conv_id, n, start, "end", said, said as fresh, case when said <> '' then said end as last from s where n = 1
+ union all select conv_id, n, start, "end", said, fresh, case when fresh <> '' and fresh is distinct from last then fresh else last end from
+ (select s.conv_id, s.n, s.start, s."end", s.said, r.last, case when r.last is not null and starts_with(s.said, r.last) and s.said <> r.last then trim(substr(s.said, length(r.last) + 1), ' ') when s.said is not distinct from r.last then '' else s.said end as fresh from r join s on s.conv_id = r.conv_id and s.n = r.n + 1))
+select conv_id, start, "end", fresh as text from (select *, lag(last) over (partition by conv_id order by n) as before from r) where fresh <> '' and fresh is distinct from before"""
 
 
 def frame_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,6 +165,11 @@ def distinct_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["distinct_frames"] = distinct_frames
+ORACLES["distinct_frames"] = """with recursive e as (select label, vec_id, vec_id // 3 as shape, row_number() over (partition by label order by vec_id) as n from embeddings),
+r as (select label, vec_id, n, null::bigint as repeats, vec_id as kept, shape as last from e where n = 1
+ union all select e.label, e.vec_id, e.n, case when bit_count(xor(e.shape, r.last)) <= 2 then r.kept end, case when bit_count(xor(e.shape, r.last)) <= 2 then r.kept else e.vec_id end, case when bit_count(xor(e.shape, r.last)) <= 2 then r.last else e.shape end
+ from r join e on e.label = r.label and e.n = r.n + 1)
+select label, vec_id, repeats from r"""
 
 
 def spread_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,12 +196,14 @@ select user_id, event_id, repeat from p where total <= 12 or (want > 0 and (n <=
 
 
 def interval_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """S129: an instant every 2.5 seconds."""
-    return S.grid(10.0, 60.0, 2.5, spark)
+    """S129: an instant every 2.5 seconds of each user's recording, from its first event in an hour of its own to its last."""
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.min(F.unix_timestamp("ts") % 3600).cast("double").alias("start"), F.max(F.unix_timestamp("ts") % 3600).cast("double").alias("end"))
+    return e.select("user_id", F.explode(S.instants(F.col("start"), F.col("end"), 2.5)).alias("t"))
 
 
 QUERIES["interval_grid"] = interval_grid
-ORACLES["interval_grid"] = "select k as id, 10.0::double + k * 2.5::double as t from (select unnest(range(0, 21)) as k)"
+ORACLES["interval_grid"] = """with e as (select user_id, min(floor(epoch(ts))::bigint % 3600)::double as s, max(floor(epoch(ts))::bigint % 3600)::double as f from events group by user_id)
+select user_id, s + unnest(range(0, floor((f - s) / 2.5)::bigint + 1)) * 2.5::double as t from e"""
 
 
 def events_terminal(spark: SparkSession, sf: str) -> DataFrame:

@@ -135,14 +135,14 @@ select conv_id, turn, (2 + coalesce(sum(breaks + 1) over (partition by conv_id o
 def data_uris(spark: SparkSession, sf: str) -> DataFrame:
     """data URIs decoded; what isn't one is null."""
     d = table(spark, sf, "documents").where("text is not null")
-    uri = F.when(F.col("doc_id") % 4 == 0, F.lit("http://x")).otherwise(F.concat(F.lit("data:text/plain;base64,"), F.replace(F.base64(F.substring("text", 1, 60).cast("binary")), F.lit("\r\n"), F.lit(""))))
+    uri = F.when(F.col("doc_id") % 4 == 0, F.lit("http://x")).otherwise(F.concat(F.lit("data:text/plain;base64,"), F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r\n"), F.lit(""))))
     body = F.try_to_binary(F.nullif(F.regexp_extract(uri, r"^data:[\w/+.-]*(?:;[\w=-]+)*;base64,(.*)$", 1), F.lit("")), F.lit("base64"))
     return d.select("doc_id", F.octet_length(body).cast("long").alias("bytes"), F.sha2(body, 256).alias("digest"))
 
 
 QUERIES["data_uris"] = data_uris
-ORACLES["data_uris"] = """select doc_id, case when doc_id % 4 <> 0 and substr(text, 1, 60) <> '' then octet_length(encode(substr(text, 1, 60)))::bigint end as bytes,
- case when doc_id % 4 <> 0 and substr(text, 1, 60) <> '' then sha256(substr(text, 1, 60)) end as digest from documents where text is not null"""
+ORACLES["data_uris"] = """select doc_id, case when doc_id % 4 <> 0 and text <> '' then octet_length(encode(text))::bigint end as bytes,
+ case when doc_id % 4 <> 0 and text <> '' then sha256(text) end as digest from documents where text is not null"""
 
 
 def scaled_boxes(spark: SparkSession, sf: str) -> DataFrame:

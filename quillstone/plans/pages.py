@@ -111,25 +111,24 @@ select chart, idx, coalesce(max(case when category <> '' and series in ('click',
 
 def range_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Cells that a range reference takes in."""
-    cells = table(spark, sf, "orders").select((F.col("o_custkey") % 10).alias("sheet"), (F.col("o_orderkey") % 500).cast("int").alias("r"), (F.col("o_orderkey") % 7).cast("int").alias("c"), F.col("o_orderkey").alias("v"))
-    ranges = table(spark, sf, "customer").where("c_custkey <= 60").select((F.col("c_custkey") % 10).alias("sheet"), F.col("c_custkey").alias("ref"), (F.col("c_custkey") * 5 % 400).cast("int").alias("r0"), (F.col("c_custkey") * 5 % 400 + 90).cast("int").alias("r1"), F.lit(1).alias("c0"), F.lit(3).alias("c1"))
+    cells = table(spark, sf, "orders").select((F.col("o_custkey") % 997).alias("sheet"), (F.col("o_orderkey") % 500).cast("int").alias("r"), (F.col("o_orderkey") % 7).cast("int").alias("c"), F.col("o_orderkey").alias("v"))
+    ranges = table(spark, sf, "customer").select((F.col("c_custkey") % 997).alias("sheet"), F.col("c_custkey").alias("ref"), (F.col("c_custkey") * 5 % 400).cast("int").alias("r0"), (F.col("c_custkey") * 5 % 400 + 90).cast("int").alias("r1"), F.lit(1).alias("c0"), F.lit(3).alias("c1"))
     return O.cells_in(ranges, cells, "sheet").select("ref", "r", "c", "v")
 
 
 QUERIES["range_cells"] = range_cells
-ORACLES["range_cells"] = """with c as (select o_custkey % 10 as sheet, o_orderkey % 500 as r, o_orderkey % 7 as c, o_orderkey as v from orders), g as (select c_custkey % 10 as sheet, c_custkey as ref, c_custkey * 5 % 400 as r0 from customer where c_custkey <= 60)
+ORACLES["range_cells"] = """with c as (select o_custkey % 997 as sheet, o_orderkey % 500 as r, o_orderkey % 7 as c, o_orderkey as v from orders), g as (select c_custkey % 997 as sheet, c_custkey as ref, c_custkey * 5 % 400 as r0 from customer)
 select ref, r::int as r, c::int as c, v from g join c using (sheet) where r between r0 and r0 + 90 and c between 1 and 3"""
 
 
 def tree_outline(spark: SparkSession, sf: str) -> DataFrame:
     """A tree as an indented list, in preorder."""
-    n = table(spark, sf, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 3 + 0.5)).alias("parent"), F.col("p_name").alias("label"))
-    n.where("parent is null or parent < id").createOrReplaceTempView("quillstone_tree")
-    return O.tree_order(spark, "quillstone_tree").select("id", "depth", "line", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
+    n = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 3 + 0.5)).alias("parent"), F.col("p_name").alias("label"))
+    return O.tree_order(n.where("parent is null or parent < id")).select("id", "depth", "line", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
 
 
 QUERIES["tree_outline"] = tree_outline
-ORACLES["tree_outline"] = """with recursive n as (select p_partkey as id, case when p_partkey > 1 then floor(p_partkey / 3.0 + 0.5)::bigint end as parent, p_name as label from part where p_partkey <= 200),
+ORACLES["tree_outline"] = """with recursive n as (select p_partkey as id, case when p_partkey > 1 then floor(p_partkey / 3.0 + 0.5)::bigint end as parent, p_name as label from part),
 w as (select id, label, 0 as depth, id::varchar as path from n where parent is null union all select n.id, n.label, w.depth + 1, w.path || '/' || n.id from n join w on n.parent = w.id where n.parent < n.id)
 select id, depth, repeat('  ', depth) || '- ' || label as line, path from w"""
 
@@ -145,15 +144,39 @@ ORACLES["tile_grid"] = """with p as (select p_partkey, greatest(0, ceil((p_size
 x as (select p_partkey, ny, unnest(range(0, nx + 1)) as i from p), y as (select p_partkey, i, unnest(range(0, ny + 1)) as j from x) select p_partkey, (i * 900)::int as x, (j * 900)::int as y from y"""
 
 
+def tile_seams(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of tiles without those that the tile above had: here turns of conversations as tiles of three words a side."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.filter(F.split("text", " "), lambda w: w != "").alias("w"))
+    before = F.coalesce(F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn")), F.array().cast("array<string>"))
+    tail = F.slice(before, F.greatest(F.size(before) - F.col("turn").cast("int") % 4, F.lit(1)), F.when(F.size(before) > 0, 5).otherwise(0))
+    tiles = c.select("conv_id", "turn", F.concat(F.when(F.col("turn") % 3 == 0, F.array(F.lit("cut"))).otherwise(F.array().cast("array<string>")), tail, "w").alias("lines"))
+    return O.seamless(tiles, ["conv_id"], "turn", "lines").select("conv_id", "turn", F.array_join("lines", " ").alias("text"), F.col("dropped").cast("long").alias("dropped"))
+
+
+QUERIES["tile_seams"] = tile_seams
+ORACLES["tile_seams"] = """with c as (select conv_id, turn, list_filter(string_split(text, ' '), lambda w: w <> '') as w from conversations),
+b as (select *, coalesce(lag(w) over (partition by conv_id order by turn), []) as before from c),
+t as (select conv_id, turn, list_concat(case when turn % 3 = 0 then ['cut'] else [] end, before[greatest(len(before) - turn % 4, 1) : greatest(len(before) - turn % 4, 1) + 4], w) as l from b),
+p as (select *, coalesce(lag(l) over (partition by conv_id order by turn), []) as a from t),
+k as (select unnest([0, 0, 1, 1]) as cut, unnest([0, 1, 0, 1]) as skip),
+f as (select conv_id, turn, l, cut, skip, coalesce(list_max(list_filter(range(1, least(len(a) - cut, len(l) - skip) + 1), lambda n: a[len(a) - cut - n + 1 : len(a) - cut] = l[skip + 1 : skip + n])), 0) as n from p, k),
+g as (select conv_id, turn, any_value(l) as l, arg_max(skip, n * 4 - 2 * cut - skip) as skip, max(n) as n from f group by conv_id, turn)
+select conv_id, turn, array_to_string(case when n = 0 then l else list_concat(l[1 : skip], l[skip + n + 1 :]) end, ' ') as text, n::bigint as dropped from g"""
+
+
 def public_addresses(spark: SparkSession, sf: str) -> DataFrame:
     """S122: which addresses a fetch may reach."""
-    ips = ["8.8.8.8", "10.1.2.3", "127.0.0.1", "172.16.5.4", "172.32.0.1", "192.168.1.1", "169.254.1.1", "::ffff:10.0.0.1", "::ffff:1.1.1.1", "224.0.0.1", "100.64.0.1", "999.1.1.1", "text"]
-    rows = spark.range(len(ips)).select("id", F.element_at(F.array(*map(F.lit, ips)), (F.col("id") + 1).cast("int")).alias("ip"))
-    return rows.select("ip", O.public_address(F.col("ip")).alias("public"))
+    k = F.col("event_id") * 7919 + F.col("user_id") * 104729
+    part = [(k % 257).cast("string"), (F.floor(k / 257) % 256).cast("string"), (F.floor(k / 65792) % 256).cast("string"), (F.col("event_id") % 256).cast("string")]
+    ip = F.concat(F.when(F.col("event_id") % 5 == 0, "::FFFF:").otherwise(""), F.concat_ws(".", *part), F.when(F.col("event_id") % 11 == 0, "x").otherwise(""))
+    return table(spark, sf, "events").select("event_id", ip.alias("ip")).select("event_id", "ip", O.public_address(F.col("ip")).alias("public"))
 
 
 QUERIES["public_addresses"] = public_addresses
-ORACLES["public_addresses"] = "select * from (values ('8.8.8.8', true), ('10.1.2.3', false), ('127.0.0.1', false), ('172.16.5.4', false), ('172.32.0.1', true), ('192.168.1.1', false), ('169.254.1.1', false), ('::ffff:10.0.0.1', false), ('::ffff:1.1.1.1', true), ('224.0.0.1', false), ('100.64.0.1', false), ('999.1.1.1', false), ('text', false)) t(ip, public)"
+ORACLES["public_addresses"] = """with k as (select event_id, event_id * 7919 + user_id * 104729 as k from events),
+p as (select event_id, k % 257 as a, k // 257 % 256 as b, k // 65792 % 256 as c, event_id % 256 as d from k)
+select event_id, case when event_id % 5 = 0 then '::FFFF:' else '' end || a || '.' || b || '.' || c || '.' || d || case when event_id % 11 = 0 then 'x' else '' end as ip,
+ event_id % 11 <> 0 and a <= 255 and not (a in (0, 10, 127) or a >= 224 or (a = 172 and b between 16 and 31) or (a = 192 and b = 168) or (a = 169 and b = 254) or (a = 100 and b between 64 and 127) or (a = 192 and b = 0 and c in (0, 2)) or (a = 198 and (b in (18, 19) or (b = 51 and c = 100))) or (a = 203 and b = 0 and c = 113)) as public from p"""
 
 
 def profile_footer(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,6 +185,11 @@ def profile_footer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["profile_footer"] = profile_footer
+ORACLES["profile_footer"] = "\nunion all ".join(
+    f"select '{c}' as column_name, {low} as low, {high} as high, count(*) filter (where {c} is null)::bigint as nulls from lineitem"
+    for c, low, high in [(c, f"min({c})::double::varchar", f"max({c})::double::varchar") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    + [(c, f"min({c})::varchar", f"max({c})::varchar") for c in ("l_returnflag", "l_linestatus", "l_shipdate")]
+)
 
 
 def row_group_prefix(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,3 +209,8 @@ def glyph_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["glyph_lines"] = glyph_lines
+ORACLES["glyph_lines"] = """with recursive g as (select l_orderkey as page, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as seq, l_linenumber * 10.0::double as x0, l_linenumber * 10.0::double + l_quantity % 12 as x1, (l_partkey % 3 * 4.0::double) as y from lineitem),
+r as (select page, seq, x1 as past, y as base, 0 as line from g where seq = 1
+ union all select g.page, g.seq, g.x1, case when abs(g.y - r.base) <= 5 and g.x0 - r.past between -10 and 3 then r.base else g.y end, case when abs(g.y - r.base) <= 5 and g.x0 - r.past between -10 and 3 then r.line else r.line + 1 end
+ from r join g on g.page = r.page and g.seq = r.seq + 1)
+select page, line::bigint as line, count(*) as runs from r group by page, line"""

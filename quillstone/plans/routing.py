@@ -141,13 +141,13 @@ select source, count(*) as items, count(code) as errors, count(*) filter (where
 
 def needs_wording(spark: SparkSession, sf: str) -> DataFrame:
     """What is missing, by source: pages, pictures, recordings."""
-    d = table(spark, sf, "documents").where("doc_id % 3 = 0")
+    d = table(spark, sf, "documents")
     own = d.groupBy("source").agg(F.array_sort(F.collect_set(F.when(F.col("n_chars") < 1200, F.col("doc_id") % 100))).alias("pages"), F.count_if(F.col("lang") == "de").alias("images"), F.max((F.col("lang") == "es")).alias("media"))
     return own.select("source", F.concat_ws("; ", F.when(F.size("pages") > 0, F.concat(F.lit("pages "), F.array_join(F.transform("pages", lambda p: p.cast("string")), ","))), F.when(F.col("images") > 0, R.not_read("images", "image")), F.when(F.col("media"), "recording not read")).alias("needs"))
 
 
 QUERIES["needs_wording"] = needs_wording
-ORACLES["needs_wording"] = """with d as (select * from documents where doc_id % 3 = 0),
+ORACLES["needs_wording"] = """with d as (select * from documents),
 o as (select source, list_sort(list(distinct doc_id % 100) filter (where n_chars < 1200)) as pages, count(*) filter (where lang = 'de') as images, bool_or(lang = 'es') as media from d group by source)
 select source, concat_ws('; ', case when len(pages) > 0 then 'pages ' || array_to_string(pages, ',') end, case when images > 0 then format('{:,}', images) || case when images > 1 then ' images' else ' image' end || ' not read' end, case when media then 'recording not read' end) as needs from o"""
 
@@ -217,6 +217,10 @@ def greedy_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["greedy_budget"] = greedy_budget
+ORACLES["greedy_budget"] = """with recursive d as (select source, doc_id, n_chars, row_number() over (partition by source order by doc_id) as n from documents),
+r as (select source, doc_id, n_chars, n, n_chars <= 40000 as taken, 40000 - case when n_chars <= 40000 then n_chars else 0 end as room from d where n = 1
+ union all select d.source, d.doc_id, d.n_chars, d.n, d.n_chars <= r.room, r.room - case when d.n_chars <= r.room then d.n_chars else 0 end from r join d on d.source = r.source and d.n = r.n + 1)
+select source, doc_id, n_chars, coalesce(taken, false) as taken from r"""
 
 
 def scope_whitelist(spark: SparkSession, sf: str) -> DataFrame:

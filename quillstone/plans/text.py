@@ -138,11 +138,10 @@ select conv_id, island::bigint as island, role, min(turn) as first, count(*) as
 def seven_escapes(spark: SparkSession, sf: str) -> DataFrame:
     """Cells and names, over texts."""
     d = table(spark, sf, "documents")
-    raw = F.substring("text", 1, 400)
-    return d.select("doc_id", R.sample_cell(raw).alias("cell"), R.value_cell(F.when(F.col("doc_id") % 5 == 0, "NULL").when(F.col("doc_id") % 5 == 1, F.lit(None).cast("string")).otherwise(F.col("source"))).alias("value"), R.safe_name(F.concat(F.lit("a b/"), F.col("source"), F.lit("?*.txt"))).alias("safe"), R.flat_name(F.concat(F.col("lang"), F.lit("/"), F.col("source"), F.lit(".md"))).alias("flat"), R.clip(F.substring("text", 1, 120), 100).alias("clipped"))
+    return d.select("doc_id", R.sample_cell("text").alias("cell"), R.value_cell(F.when(F.col("doc_id") % 5 == 0, "NULL").when(F.col("doc_id") % 5 == 1, F.lit(None).cast("string")).otherwise(F.col("source"))).alias("value"), R.safe_name(F.concat(F.lit("a b/"), F.col("source"), F.lit("?*.txt"))).alias("safe"), R.flat_name(F.concat(F.col("lang"), F.lit("/"), F.col("source"), F.lit(".md"))).alias("flat"), R.clip(F.col("text"), 100).alias("clipped"))
 
 
 QUERIES["cells_and_names"] = seven_escapes
-ORACLES["cells_and_names"] = r"""with e as (select *, replace(replace(substr(text, 1, 400), '|', '\|'), chr(10), ' ') as c from documents)
+ORACLES["cells_and_names"] = r"""with e as (select *, replace(replace(text, '|', '\|'), chr(10), ' ') as c from documents)
 select doc_id, case when text is null then 'NULL' when length(c) > 200 then substr(c, 1, 200) || '...' else c end as cell, case doc_id % 5 when 0 then '"NULL"' when 1 then 'NULL' else source end as value,
  'a_b_' || source || '_.txt' as safe, lang || '__' || source || '.md' as flat, substr(text, 1, 100) as clipped from e"""

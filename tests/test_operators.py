@@ -58,8 +58,9 @@ def test_greedy(spark):
 
 def test_rolled_fresh_seam():
     assert rolled([(0, 1, "a b"), (1, 2, "a b c"), (2, 3, "c"), (3, 4, "c"), (4, 5, "a b")]) == [(0, 1, "a b"), (1, 2, "c"), (4, 5, "a b")]
-    assert ordered.fresh(["a.txt", "A.txt", "a.txt", "b", "b"]) == ["a.txt", "A-2.txt", "a-3.txt", "b", "b-5"]
-    assert ordered.seam(["x", "y", "z"], ["y", "z", "w"]) == 2 and ordered.seam(["x"], ["y"]) == 0 and ordered.seam(["a", "b", "c", "d"], ["a", "q", "c", "d"]) == 4
+    named = lambda *names: list(ordered.fresh(enumerate(names, 1), set()))
+    assert named("a.txt", "A.txt", "a.txt", "b", "b") == ["a.txt", "A-2.txt", "a-3.txt", "b", "b-5"]
+    assert named("a-3.txt", "a.txt", "A.txt", ".x", ".x", "a.", "a.") == ["a-3.txt", "a.txt", "A-3-4.txt", ".x", ".x-5", "a.", "a-7."]
 
 
 def test_footers(spark, tmp_path):
@@ -92,3 +93,48 @@ def test_placement_of_many_items(spark):
         body, extra = ([r for r in rows if r[0] == i and r[1] is e] for e in (False, True))
         assert got[i] == [(bool(e), (extra if e else body)[n][2]) for e, n in ordered.placed([r[3:] for r in body], [r[3:] for r in extra])]
     assert ordered.placement(df.limit(0), "item").count() == 0
+
+
+def longest_seam(above, lines):
+    """The rule as it reads: every pair of runs, the longest first."""
+    found = [(n, -cut, -skip) for n in range(1, min(len(above), len(lines)) + 1) for cut in (0, 1) for skip in (0, 1) if n <= len(above) - cut and n <= len(lines) - skip and above[len(above) - cut - n : len(above) - cut] == lines[skip : skip + n]]
+    n, _, skip = max(found, default=(0, 0, 0))
+    return -skip, n
+
+
+def test_seams(spark):
+    rnd = random.Random(3)
+    rows = [(i, k, [rnd.choice("ab") for _ in range(rnd.randint(0, 6))]) for i in range(40) for k in range(4)]
+    rows += [(99, 0, ["x", "y", "z"]), (99, 1, ["y", "z", "w"]), (99, 2, ["cut", "z", "w", "v"]), (99, 3, [])]
+    got = {(r.column, r.k): (r.lines, r.dropped) for r in ordered.seamless(spark.createDataFrame(rows, "column int, k int, lines array<string>"), ["column"], "k", "lines").collect()}
+    above = []
+    for i, k, lines in rows:
+        start, n = longest_seam(above if k else [], lines)
+        assert got[i, k] == (lines[:start] + lines[start + n :], n), (i, k)
+        above = lines
+    assert got[99, 1] == (["w"], 2) and got[99, 2] == (["cut", "v"], 2)
+
+
+def test_fresh_names_stream(spark):
+    rnd = random.Random(4)
+    rows = [(f"g{n % 3}", n, rnd.choice([None, "a.txt", "A.TXT", "b", "b-4", ".x"])) for n in range(300)]
+    got = {r.n: r.fresh for r in ordered.fresh_names(spark.createDataFrame(rows, "g string, n long, name string"), "g", "n", "name").collect()}
+    for g in ("g0", "g1", "g2"):
+        taken = set()
+        for place, (_, n, name) in enumerate((r for r in rows if r[0] == g), 1):
+            want = name
+            i = place
+            while want is not None and want.lower() in taken:
+                stem, suffix = (want[: want.rindex(".")], want[want.rindex(".") :]) if "." in want[1:] else (want, "")
+                want, i = f"{stem}-{i}{suffix}", i + 1
+            assert got[n] == want
+            taken.add(want and want.lower())
+
+
+def test_profile_beyond_its_guard(spark):
+    from quillstone.operators import profile
+
+    df = spark.range(100).select("id", (F.col("id") % 3).alias("k"))
+    assert {r.column_name: r.distinct for r in profile.profile(df).collect()} == {"id": 100, "k": 3}
+    assert {r.column_name: (r.high, r.distinct) for r in profile.profile(df, most=1000).collect()} == {"id": ("99", None), "k": ("2", None)}
+    assert {r.column_name: r.distinct for r in profile.profile(df.limit(0)).collect()} == {"id": 0, "k": 0}
