@@ -1,12 +1,19 @@
 """Quality rules by tokeniser fertility.
 
-The words of a whole text are cut by a public sentencepiece vocabulary. Characters per token, the share of byte-fallback
-tokens and the entropy of the text's tokens must lie inside the band of the text's script. Base counts (symbols,
-duplicate lines, repeated three-word windows) come with the verdict. A worker encodes each distinct word once and keeps
-a bounded table; a text costs memory in proportion to its length.
-
-Nulls and texts without words have zero counts and fail the base rule. Rows repeated come out as often as they came in;
-null doc_ids are kept; other columns are ignored.
+The words of a whole text, joined by single spaces, are encoded by two public vocabularies: pieces with byte fallback
+(sentencepiece) and byte-level ranks (tiktoken). Characters per token under either, the share of byte-fallback tokens and
+the entropy of the text's pieces must lie inside the bands of the text's script and language. The bands are learned from
+all documents that pass the base rule: SPREAD times the distance from the median to a quartile, beyond that quartile, with
+the quartiles of the text's (script, language), or of its script where that group has under LEAST_GROUP documents, or of
+all documents where the script has. LIMITS hold for every text beside these. Base counts (symbols, duplicate lines, repeated three-word windows) come with the
+verdict; `rejects` counts what each figure rejects. A text costs memory in proportion to its length.
+
+The figures of each row are written to the shared folder, as bands and verdict both read them. Groups that hold many rows
+are joined by a broadcast of bounded size.
+
+Nulls and texts without words have zero counts and fail the base rule. A null language is a group like any other. Rows
+repeated come out as often as they came in; null doc_ids are kept; other columns are ignored; a table without `lang` has
+one language. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,24 +22,28 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .shared import by_arrow, texts_of
+from .bpe import load_ranks
+from .shared import by_arrow, joined, stored, texts_of
 
-#: Words that a worker keeps; below 2**21, so that three indexes fit in 63 bits.
-KEPT = 1 << 19
 #: Script: first and last code points; the first that holds a character names it. Others are "other".
 SCRIPTS = [
     ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xAA, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x77F),
     ("indic", 0x900, 0xDFF), ("thai", 0xE00, 0xE7F), ("latin", 0x1E00, 0x1EFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 ]
 NAMES = ["other", *dict.fromkeys(n for n, _, _ in SCRIPTS)]
-#: Script: least and most characters per token, most share of byte-fallback tokens, least and most bits of entropy.
-BANDS = {
-    "latin": (1.3, 8.0, 0.05, 4.0, 14.0), "cyrillic": (1.0, 8.0, 0.05, 4.0, 14.0), "greek": (0.7, 6.0, 0.2, 3.5, 14.0), "hebrew": (0.6, 6.0, 0.3, 3.5, 14.0), "arabic": (0.6, 6.0, 0.3, 3.5, 14.0),
-    "indic": (0.4, 6.0, 0.6, 3.0, 14.0), "thai": (0.4, 6.0, 0.6, 3.0, 14.0), "kana": (0.4, 4.0, 0.5, 4.0, 14.0), "han": (0.3, 3.0, 0.8, 4.0, 14.0), "hangul": (0.3, 3.0, 0.8, 4.0, 14.0), "other": (0.3, 8.0, 0.5, 3.0, 14.0),
-}
 LEAST_WORDS, MOST_REPEATED = 50, 50
+#: How far beyond a quartile a band reaches, in distances from the median to it; documents that make a group.
+SPREAD, LEAST_GROUP = 4.0, 200
+#: Script: least and most characters per piece, most share of byte-fallback pieces, least bits of entropy; limits for any corpus.
+LIMITS = {
+    "latin": (1.3, 8.0, 0.05, 4.0), "cyrillic": (1.0, 8.0, 0.05, 4.0), "greek": (0.7, 6.0, 0.2, 3.5), "hebrew": (0.6, 6.0, 0.3, 3.5), "arabic": (0.6, 6.0, 0.3, 3.5), "indic": (0.4, 6.0, 0.6, 3.0), "thai": (0.4, 6.0, 0.6, 3.0),
+    "kana": (0.4, 4.0, 0.5, 4.0), "han": (0.3, 3.0, 0.8, 4.0), "hangul": (0.3, 3.0, 0.8, 4.0), "other": (0.3, 8.0, 0.5, 3.0),
+}
+#: Figure: the least distance from the median to a quartile, and if its band has a lower and an upper end.
+FIGURES = {"chars_per_token": (0.05, True, True), "chars_per_rank": (0.05, True, True), "fallback_share": (0.005, False, True), "token_entropy": (0.05, True, True)}
 _STARTS = np.array([s for _, s, _ in SCRIPTS])
 _ENDS = np.array([e for _, _, e in SCRIPTS])
 _CODE = np.array([NAMES.index(n) for n, _, _ in SCRIPTS])
@@ -45,55 +56,37 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Pieces:
-    """A worker's table of words: the tokens of each, one after the other."""
-
-    def __init__(self, path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.tokens = np.empty(1 << 16, np.int32)
-        self.start = np.zeros(KEPT + 1, np.int64)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Indexes of the words, new ones encoded."""
-        if len(self.index) >= KEPT // 2:
-            self.clear()
-        missing = list(dict.fromkeys(w for w in words if w not in self.index))
-        if len(missing) + len(self.index) > KEPT:  # a single text with more distinct words than the table holds
-            self.start = np.concatenate([self.start, np.zeros(len(missing), np.int64)])
-        if missing:
-            found = self.model.encode([w.decode("utf-8", "replace") for w in missing], num_threads=1)
-            n = len(self.index)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            ends = self.start[n] + np.cumsum(sizes)
-            while ends[-1] > len(self.tokens):
-                self.tokens = np.concatenate([self.tokens, np.empty_like(self.tokens)])
-            self.tokens[self.start[n] : ends[-1]] = np.concatenate([np.asarray(x, np.int32) for x in found])
-            self.start[n + 1 : n + 1 + len(found)] = ends
-            self.index.update(zip(missing, range(n, n + len(found)), strict=True))
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-
-    def counts(self, at: np.ndarray) -> tuple[int, int, float]:
-        """Tokens, byte-fallback tokens and bits of entropy of the words at these indexes."""
-        words, times = np.unique(at, return_counts=True)
-        sizes = self.start[words + 1] - self.start[words]
-        begin = np.cumsum(sizes) - sizes
-        tokens = self.tokens[np.repeat(self.start[words] - begin, sizes) + np.arange(sizes.sum())]
-        seen = np.bincount(tokens, np.repeat(times, sizes))
-        total, fallback = seen.sum(), seen[: len(self.byte)][self.byte[: len(seen)]].sum()
-        share = seen[seen > 0] / max(total, 1)
-        return int(total), int(fallback), float(-(share * np.log2(share)).sum()) + 0.0
+def default_ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@lru_cache(2)
+def pieces(path: str):
+    """The encoder of a sentencepiece file, and which of its ids are bytes."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return model, np.array([model.is_byte(i) for i in range(model.vocab_size())])
 
 
 @lru_cache(2)
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def ranked(path: str):
+    import public_tokenizers
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
+
+
+def fertility(plain: str, chars: int, vocabulary: str, ranks: str) -> tuple[float, float, float, float]:
+    """Of words joined by single spaces: characters per piece, per rank, share of byte-fallback pieces, bits of entropy."""
+    model, byte = pieces(vocabulary)
+    ids = np.array(model.encode(plain), np.int64)
+    kinds, times = np.unique(ids, return_counts=True)
+    share = times / max(len(ids), 1)
+    others = len(ranked(ranks).encode_ordinary(plain))
+    return chars / max(len(ids), 1), chars / max(others, 1), float(times[byte[kinds]].sum() / max(len(ids), 1)), float(-(share * np.log2(share)).sum()) + 0.0
 
 
 def repeated(at: np.ndarray) -> int:
@@ -122,33 +115,68 @@ def script_of(points: np.ndarray) -> str:
     return NAMES[int(np.bincount(_CODE[np.searchsorted(_STARTS, named, "right") - 1]).argmax())]
 
 
-def rules(docs: DataFrame, vocabulary: str | None = None, bands: dict[str, tuple] | None = None) -> DataFrame:
-    """One row for each row of docs (doc_id, text): base counts, fertility figures, base_failed, kept."""
-    path, bands = vocabulary or default_vocabulary(), bands or BANDS
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "chars_per_token", "fallback_share", "token_entropy"]
+def figures(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
+    """One row for each row of docs (doc_id, text, lang): base counts, base_failed, script, lang, the figures of FIGURES."""
+    path, other = vocabulary or default_vocabulary(), ranks or default_ranks()
+    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "script", *FIGURES]
 
     def row(data: bytes) -> tuple:
         words = data.split()
         raw = np.frombuffer(data, np.uint8)
         symbols = int(np.bincount(raw, minlength=256)[_SYMBOLS].sum())
         lines = [x for x in data.split(b"\n") if x.strip()]
-        points = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        chars = int(((points != 32) & ((points < 9) | (points > 13))).sum())
-        p = pieces(path)
-        at = p.of(words)
-        tokens, fallback, bits = p.counts(at) if words else (0, 0, 0.0)
-        again = repeated(at)
-        script = script_of(points)
+        plain = b" ".join(words).decode("utf-8", "replace")
+        points = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        chars = len(points) - max(len(words) - 1, 0)
+        numbers: dict[bytes, int] = {}
+        again = repeated(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
         failed = len(words) < LEAST_WORDS or 100 * again > MOST_REPEATED * len(words)
-        per, share = chars / tokens if tokens else 0.0, fallback / tokens if tokens else 0.0
-        low, high, most, least_bits, most_bits = bands.get(script, bands["other"])
-        return len(words), chars, symbols, len(lines) - len(set(lines)), again, failed, not failed and low <= per <= high and share <= most and least_bits <= bits <= most_bits, script, per, share, bits
+        return len(words), chars, symbols, len(lines) - len(set(lines)), again, failed, script_of(points), *fertility(plain, chars, path, other)
 
-    kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()] + [pa.float64()] * 3
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string()] + [pa.float64()] * 4
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = zip(*(row(x) for x in texts_of(batch.column(1))), strict=True)
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, chars_per_token double, fallback_share double, token_entropy double"
-    return by_arrow(docs.select("doc_id", "text"), work, schema, 4 << 20)
+        columns = zip(*(row(x) for x in texts_of(batch.column(2))), strict=True)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, " + ", ".join(f"{f} double" for f in FIGURES)
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    return by_arrow(docs.select("doc_id", lang.alias("lang"), "text"), work, schema, 4 << 20)
+
+
+def bands(rows: DataFrame, keys: list[str], spread: float = SPREAD, least: int = LEAST_GROUP) -> DataFrame:
+    """(keys, low_* and high_* of each figure, n) of the groups of `least` documents or more that pass the base rule."""
+    own = rows.where("not base_failed").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(f) for f in FIGURES))
+    ends = []
+    for f, (floor, lower, upper) in FIGURES.items():
+        low, middle, high = (F.get(f, F.lit(k)) for k in range(3))
+        ends.append((low - spread * F.greatest(middle - low, F.lit(floor)) if lower else F.lit(float("-inf"))).alias(f"low_{f}"))
+        ends.append((high + spread * F.greatest(high - middle, F.lit(floor)) if upper else F.lit(float("inf"))).alias(f"high_{f}"))
+    return own.where(F.col("n") >= least).select(*keys, *ends, "n")
+
+
+def outside(figure: str) -> Column:
+    return F.coalesce((F.col(figure) < F.col(f"low_{figure}")) | (F.col(figure) > F.col(f"high_{figure}")), F.lit(False))
+
+
+def rules(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, spread: float = SPREAD, least: int = LEAST_GROUP) -> DataFrame:
+    """One row for each row of docs (doc_id, text, lang): base counts, figures, base_failed, kept, outside (names of figures beyond their bands)."""
+    rows = stored(figures(docs, vocabulary, ranks), "figures")
+    ends = [f"{side}_{f}" for f in FIGURES for side in ("low", "high")]
+    of_group, of_script, of_all = (bands(rows, keys, spread, least) for keys in (["script", "lang"], ["script"], []))
+    # Scripts are a dozen and `of_all` is one row or none; a (script, language) may hold most rows or be one of many.
+    found = joined(rows, of_group, ["script", "lang"], ends, rows.count())
+    by_script = of_script.select(F.col("script").alias("s"), *(F.col(e).alias(f"s_{e}") for e in ends))
+    found = found.join(F.broadcast(by_script), F.col("script") == F.col("s"), "left").join(F.broadcast(of_all.select(*(F.col(e).alias(f"a_{e}") for e in ends))), F.lit(True), "left")
+    found = found.withColumns({e: F.coalesce(e, f"s_{e}", f"a_{e}") for e in ends})
+    limit = lambda k: F.element_at(F.create_map(*(F.lit(x) for name, ends in LIMITS.items() for x in (name, ends[k]))), F.col("script"))
+    beyond = {"chars_per_token": ~F.col("chars_per_token").between(limit(0), limit(1)), "fallback_share": F.col("fallback_share") > limit(2), "token_entropy": F.col("token_entropy") < limit(3)}
+    found = found.withColumn("outside", F.array_compact(F.array(*(F.when(outside(f) | beyond.get(f, F.lit(False)), F.lit(f)) for f in FIGURES))))
+    kept = ~F.col("base_failed") & (F.size("outside") == 0)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "script", "lang", *FIGURES, F.array_join("outside", ",").alias("outside"))
+
+
+def rejects(verdicts: DataFrame) -> DataFrame:
+    """(script, lang, figure, n): how many documents that pass the base rule each figure rejects."""
+    own = verdicts.where("not base_failed").select("script", "lang", F.explode(F.split("outside", ",")).alias("figure"))
+    return own.where("figure <> ''").groupBy("script", "lang", "figure").agg(F.count(F.lit(1)).alias("n"))

@@ -2,12 +2,14 @@
 
 Words are runs of letters. Each has affix and n-gram features (hashed n-grams of the word with its ends marked) and a
 lexicon feature (the word itself, where training saw it often enough). Emission weights and transitions are learned
-together by the gradient of the sequence likelihood, on segments of labelled texts, a part of them spliced from two
-languages, so that the chain learns what a switch costs. A text is labelled word by word by forward-backward; its
-language is the one of the largest summed marginal, its score that sum's share. Training uses at most ROWS texts of each
-language, those of the smallest hashes of their ids, and at most SEGMENTS segments of each; texts under a segment are joined. Scoring reads whole texts.
+together by the gradient of the sequence likelihood, on segments of labelled texts of LENGTH words or fewer, a part of them
+spliced from two languages, so that the chain learns what a switch costs. A text is labelled word by word by
+forward-backward; its language is the one of the largest summed marginal, its score that sum's share. Training uses at most
+ROWS texts of each language, those of the smallest hashes of their ids, TOTAL texts in all, and SEGMENTS segments of each;
+every language that has a labelled text with a letter is learned, however short its texts. Scoring reads whole texts.
 
-Nulls and texts without a letter are `und` with score 0. Rows with a null doc_id are scored and not learned from. Rows
+Nulls and texts without a letter are `und` with score 0. Rows with a null doc_id are scored and not learned from. Of a
+doc_id with several languages the smallest counts. Languages whose sums tie go to the smallest name. Rows
 repeated come out as often as they came in; other columns are ignored; where nothing can be learned all is `und`.
 """
 
@@ -21,10 +23,11 @@ from pyspark.sql import functions as F
 
 from .shared import by_arrow
 
-#: The most training texts of a language, languages, and segments of a text.
-ROWS, LANGUAGES, SEGMENTS = 200, 200, 24
+#: The most training texts of a language, segments of a text, and training texts in all.
+ROWS, SEGMENTS, TOTAL = 200, 24, 20_000
 LENGTH = 24
-HASHES = 1 << 16
+#: Cells of the table of n-gram weights, and of what a step of learning holds; the more languages, the fewer n-grams.
+HASHES, MOST_CELLS = 1 << 16, 1 << 22
 ORDERS = (1, 2, 3, 4)
 OFTEN = 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -39,7 +42,11 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(full)), ends.astype(np.int64)
 
 
-def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashes_for(languages: int) -> int:
+    return min(HASHES, 1 << max(10, (MOST_CELLS // max(languages, 1)).bit_length() - 1))
+
+
+def features(words: pa.Array, hashes: int = HASHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed n-grams of distinct words (flat), where each word's begin, and a hash of each word."""
     marked = pc.binary_join_element_wise(pa.scalar("<", pa.large_string()), words, pa.scalar(">", pa.large_string()), pa.scalar("", pa.large_string()))
     buffers = marked.buffers()
@@ -56,7 +63,7 @@ def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rolled = rolled * np.uint64(257) + part + np.uint64(1)
         if k in ORDERS:
             ok = left >= k
-            grams.append((((rolled[ok] + np.uint64(k)) * _ODD) >> np.uint64(48)).astype(np.int64) & (HASHES - 1))
+            grams.append((((rolled[ok] + np.uint64(k)) * _ODD) >> np.uint64(48)).astype(np.int64) & (hashes - 1))
             owners.append(owner[ok])
     power = (np.arange(len(raw)) - np.repeat(at[:-1], np.diff(at))).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     mixed = (raw + np.uint64(1)) * power * _ODD
@@ -77,7 +84,7 @@ class Field:
     def emissions(self, words: pa.Array) -> np.ndarray:
         out = np.zeros((len(words), len(self.labels)), np.float32)
         for a in range(0, len(words), 1 << 16):
-            flat, begin, whole = features(words.slice(a, 1 << 16))
+            flat, begin, whole = features(words.slice(a, 1 << 16), len(self.grams))
             if not len(begin):
                 continue
             part = np.add.reduceat(self.grams[flat], begin) / np.maximum(np.diff(np.append(begin, len(flat))), 1)[:, None]
@@ -119,78 +126,59 @@ class Field:
         return out
 
 
-def fit(texts: list[str], marks: list[str], rounds: int = 40, rate: float = 0.3, decay: float = 1e-4, seed: int = 3) -> Field | None:
-    """Learns the field from texts and the language of each."""
+def fit(segments: list[str], marks: list[str], rounds: int = 40, rate: float = 0.3, decay: float = 1e-4, seed: int = 3) -> Field | None:
+    """Learns the field from texts, cut into rows of LENGTH words or fewer, and the language of each."""
     labels = sorted(set(marks))
     if not labels:
         return None
     rng = np.random.default_rng(seed)
-    words, ends = words_of(pa.array(texts, pa.large_string()))
+    words, ends = words_of(pa.array(segments, pa.large_string()))
     coded = words.dictionary_encode()
     ids, distinct = np.asarray(coded.indices).astype(np.int64), coded.dictionary
-    flat, begin, whole = features(distinct)
+    n = len(labels)
+    hashes = hashes_for(n)
+    flat, begin, whole = features(distinct, hashes)
     sizes = np.diff(np.append(begin, len(flat)))
     often = np.bincount(ids, minlength=len(distinct)) >= OFTEN
     lexicon = np.unique(whole[often])
     entry = np.where(often, np.searchsorted(lexicon, whole), -1)
-    parts: dict[int, list[np.ndarray]] = {k: [] for k in range(len(labels))}
-    for n, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
-        cuts = list(range(a, b - LENGTH + 1, LENGTH))
-        for c in rng.permutation(cuts)[:SEGMENTS] if cuts else []:
-            parts[labels.index(marks[n])].append(ids[c : c + LENGTH])
-    # Texts under a segment are learned from together: their words, language by language, the last segment filled up from the first.
-    short: dict[int, list[np.ndarray]] = {}
-    for n, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
-        if 0 < b - a < LENGTH:
-            short.setdefault(labels.index(marks[n]), []).append(ids[a:b])
-    for k, own in short.items():
-        joined = np.concatenate(own)
-        parts[k].extend(np.resize(joined, -(-len(joined) // LENGTH) * LENGTH).reshape(-1, LENGTH))
-    rows = [(s, np.full(LENGTH, k)) for k, own in parts.items() for s in own]
-    if not rows:
+    # Words are laid out in rows, filled up to LENGTH; `lengths` tells how many of a row are words.
+    code = {label: k for k, label in enumerate(labels)}
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    rows_of = -(-(ends - begins) // LENGTH)
+    owner = np.repeat(np.arange(len(ends)), rows_of)
+    if not len(owner):
         return None
-    x, y = np.stack([r[0] for r in rows]), np.stack([r[1] for r in rows])
+    place = np.arange(LENGTH)
+    starts = begins[owner] + LENGTH * (np.arange(len(owner)) - np.repeat(np.cumsum(rows_of) - rows_of, rows_of))
+    lengths = np.minimum(ends[owner] - starts, LENGTH)
+    x = ids[np.minimum(starts[:, None] + place, len(ids) - 1)]
+    y = np.repeat(np.array([code[marks[k]] for k in owner], np.int64)[:, None], LENGTH, 1)
+    # A part is spliced from two rows, so that the chain learns what a switch costs.
     other = rng.permutation(len(x))
     for i in np.flatnonzero(rng.random(len(x)) < 0.3):
         at = int(rng.integers(4, LENGTH - 4))
-        x[i, at:], y[i, at:] = x[other[i], at:], y[other[i], at:]
-    n, k = len(labels), len(x)
-    shapes = [(HASHES, n), (max(len(lexicon), 1), n), (n, n), (n,)]
+        if lengths[i] > at and lengths[other[i]] > at:
+            x[i, at:], y[i, at:], lengths[i] = x[other[i], at:], y[other[i], at:], lengths[other[i]]
+    shapes = [(hashes, n), (max(len(lexicon), 1), n), (n, n), (n,)]
     values = [np.zeros(s) for s in shapes]
     squares = [np.full(s, 1e-8) for s in shapes]
-    eye = np.eye(n)
-    for turn in range(rounds):
+    size = min(len(x), max(64, min(3000, MOST_CELLS // (LENGTH * n))))
+    for turn in range(max(rounds, rounds * n * 200 // (size * 20)) if size < len(x) else rounds):
         grams, entries, moves, first = values
-        emit = np.add.reduceat(grams[flat], begin) / np.maximum(sizes, 1)[:, None]
-        emit[entry >= 0] += entries[entry[entry >= 0]]
-        some = rng.permutation(k)[: min(k, 3000)]
-        xs, ys = x[some], y[some]
-        e = emit[xs]
-        weight = np.exp(e - e.max(2, keepdims=True))
-        step = np.exp(moves - moves.max())
-        forward, back = np.empty_like(weight), np.ones_like(weight)
-        now = np.exp(first - first.max()) * weight[:, 0]
-        forward[:, 0] = now / now.sum(1, keepdims=True)
-        for t in range(1, LENGTH):
-            now = (forward[:, t - 1] @ step) * weight[:, t]
-            forward[:, t] = now / now.sum(1, keepdims=True)
-        for t in range(LENGTH - 2, -1, -1):
-            b = (back[:, t + 1] * weight[:, t + 1]) @ step.T
-            back[:, t] = b / b.sum(1, keepdims=True)
-        both = forward * back
-        both /= both.sum(2, keepdims=True)
-        slope = (eye[ys] - both) / len(some)
-        pair = np.zeros((n, n))
-        for t in range(1, LENGTH):
-            joint = forward[:, t - 1, :, None] * step * (weight[:, t] * back[:, t])[:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            pair += np.einsum("sa,sb->ab", eye[ys[:, t - 1]], eye[ys[:, t]]) - joint.sum(0)
-        per_word = np.stack([np.bincount(xs.ravel(), slope[:, :, c].ravel(), minlength=len(distinct)) for c in range(n)], 1)
-        spread = np.repeat(per_word / np.maximum(sizes, 1)[:, None], sizes, axis=0)
-        of_grams = np.stack([np.bincount(flat, spread[:, c], minlength=HASHES) for c in range(n)], 1)
-        known = entry >= 0
-        of_entries = np.stack([np.bincount(entry[known], per_word[known, c], minlength=shapes[1][0]) for c in range(n)], 1)
-        for v, q, g in zip(values, squares, (of_grams, of_entries, pair / len(some), slope[:, 0].sum(0)), strict=True):
+        chosen = rng.permutation(len(x))[:size]
+        own, xs = np.unique(x[chosen], return_inverse=True)
+        xs, ys, valid = xs.reshape(size, LENGTH), y[chosen], place < lengths[chosen, None]
+        parts = np.repeat(begin[own] - np.cumsum(sizes[own]) + sizes[own], sizes[own]) + np.arange(sizes[own].sum())
+        at, first_of = flat[parts], np.cumsum(sizes[own]) - sizes[own]
+        emit = np.stack([np.add.reduceat(grams[at, c], first_of) for c in range(n)], 1) / np.maximum(sizes[own], 1)[:, None]
+        known = entry[own] >= 0
+        emit[known] += entries[entry[own[known]]]
+        slope, pair, begun = slopes(emit[xs], ys, valid, moves, first)
+        per_word = np.stack([np.bincount(xs.ravel(), slope[:, :, c].ravel(), minlength=len(own)) for c in range(n)], 1)
+        of_grams = np.stack([np.bincount(at, np.repeat(per_word[:, c] / np.maximum(sizes[own], 1), sizes[own]), minlength=hashes) for c in range(n)], 1)
+        of_entries = np.stack([np.bincount(entry[own[known]], per_word[known, c], minlength=shapes[1][0]) for c in range(n)], 1)
+        for v, q, g in zip(values, squares, (of_grams, of_entries, pair, begun), strict=True):
             g = g - decay * v
             q += g * g
             v += rate / (1 + turn / 20) * g / np.sqrt(q)
@@ -198,22 +186,63 @@ def fit(texts: list[str], marks: list[str], rounds: int = 40, rate: float = 0.3,
     return Field(labels, grams.astype(np.float32), lexicon, entries.astype(np.float32), moves - moves.max(), first - first.max())
 
 
+def slopes(emission: np.ndarray, marks: np.ndarray, valid: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The gradient of the mean log-likelihood of rows of words by emissions, transitions and first words.
+
+    emission is (rows, words, labels); valid tells which are words, the first of a row always being one.
+    """
+    rows, length, n = emission.shape
+    eye = np.eye(n)
+    weight = np.exp(emission - emission.max(2, keepdims=True))
+    step = np.exp(moves - moves.max())
+    forward, back = np.empty_like(weight), np.ones_like(weight)
+    now = np.exp(first - first.max()) * weight[:, 0]
+    forward[:, 0] = now / now.sum(1, keepdims=True)
+    for t in range(1, length):
+        now = (forward[:, t - 1] @ step) * weight[:, t]
+        forward[:, t] = now / now.sum(1, keepdims=True)
+    for t in range(length - 2, -1, -1):
+        b = (back[:, t + 1] * weight[:, t + 1]) @ step.T
+        back[:, t] = np.where(valid[:, t + 1, None], b / b.sum(1, keepdims=True), 1.0)
+    both = forward * back
+    both /= both.sum(2, keepdims=True)
+    slope = np.where(valid[:, :, None], eye[marks] - both, 0.0) / rows
+    pair = np.zeros((n, n))
+    for t in range(1, length):
+        on = valid[:, t]
+        ahead = (weight[:, t] * back[:, t])[on]
+        before = forward[on, t - 1]
+        scale = ((before @ step) * ahead).sum(1, keepdims=True)
+        pair += eye[marks[on, t - 1]].T @ eye[marks[on, t]] - ((before / scale).T @ ahead) * step
+    return slope, pair / rows, slope[:, 0].sum(0)
+
+
 def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
-def train(docs: DataFrame, learn: Column, rows: int = ROWS, languages: int = LANGUAGES) -> Field | None:
-    marked = docs.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & learn)
-    common = marked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+def drawn(docs: DataFrame, learn: Column, rows: int = ROWS, segments: int = SEGMENTS, total: int = TOTAL) -> DataFrame:
+    """(mark_lang, words): segments of LENGTH words or fewer of `rows` labelled texts of each language, cut before they leave the workers.
+
+    Of a text of more than `segments` segments those of the smallest hashes are taken; beyond `total` texts each language
+    has fewer, one at least.
+    """
+    marked = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & learn).select("doc_id", "lang")
+    languages = marked.select("lang").distinct().count()
     order = Window.partitionBy("lang").orderBy("mark", "doc_id")
-    few = marked.join(F.broadcast(common), "lang").withColumn("mark", F.xxhash64(F.lit(4), "doc_id")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
+    few = marked.withColumn("mark", F.xxhash64(F.lit(4), "doc_id")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, min(rows, total // max(languages, 1))))
     few = few.groupBy("doc_id").agg(F.min("lang").alias("mark_lang"))
-    got = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").where("text is not null").orderBy("doc_id", "text").select("text", "mark_lang").toLocalIterator()
-    texts, marks = [], []
-    for r in got:
-        texts.append(r.text)
-        marks.append(r.mark_lang)
-    return fit(texts, marks)
+    own = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").where("text is not null")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"), lambda w: w != "")
+    own = own.select("doc_id", "mark_lang", words.alias("w")).where(F.size("w") > 0)
+    places = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / LENGTH).cast("int"))
+    taken = F.slice(F.array_sort(F.transform(places, lambda k: F.struct(F.xxhash64("doc_id", k).alias("h"), k.alias("k")))), 1, segments)
+    return own.select("doc_id", "mark_lang", F.explode(F.transform(taken, lambda s: F.array_join(F.slice("w", s["k"] * LENGTH + 1, F.lit(LENGTH)), " "))).alias("words"))
+
+
+def train(docs: DataFrame, learn: Column, rows: int = ROWS) -> Field | None:
+    found = drawn(docs, learn, rows).orderBy("doc_id", "words").select("words", "mark_lang").collect()
+    return fit([r.words for r in found], [r.mark_lang for r in found])
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -237,7 +266,7 @@ def identify(docs: DataFrame) -> DataFrame:
             score = np.where(letters & (whole > 0), total.max(1) / np.maximum(whole, 1e-9), 0).clip(0, 1)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    out = by_arrow(docs.select("doc_id", "text"), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double", 8 << 20)
+    out = by_arrow(docs.select("doc_id", "text"), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double", 8 << 20 if field is None else max(1 << 17, (8 << 20) * 4 // max(4, len(field.labels))))
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 

@@ -2,21 +2,26 @@
 
 Trusted positives are training rows that the labels mark 1; the web text at large is unlabelled. A linear model on
 bounded features of the whole text minimises the non-negative unbiased risk: prior * R(positives, +) +
-max(0, R(unlabelled, -) - prior * R(positives, -)), with the class prior estimated from the labelled training rows. Where
-the unlabelled part turns negative, the step ascends it instead, so that the model does not fit the positives among the
-unlabelled. Scores are shifted so that the threshold is halfway between the unlabelled rows' quantile at 1 - prior and the
-lowest positives. Training uses at most POSITIVES and UNLABELLED rows, taken by the smallest hashes of their ids; scoring reads
-every row once, in slices of bounded size.
+max(0, R(unlabelled, -) - prior * R(positives, -)). Where the unlabelled part turns negative, the step ascends it instead,
+so that the model does not fit the positives among the unlabelled. The class prior is estimated from positives and
+unlabelled rows alone: a first model tells them apart on one half of the rows, and on the other half the smallest ratio of
+unlabelled to positive rows above a score, with a bound for chance, is the prior. Where scores meet the threshold is chosen
+on VALIDATION labelled rows of either class that the model isn't fitted to (training rows, of which crc32(doc_id) mod 4 is
+1): in the middle of the widest gap of the best accuracy at the estimated prior. Rounds and rate were chosen on such rows too.
+
+Training uses at most POSITIVES and UNLABELLED rows, and VALIDATION of either label, taken by the smallest hashes of their
+ids; features are computed in the workers, so that the driver holds rows of fixed width, however long the texts. Scoring
+reads every row once, in slices of bounded size.
 
 Nulls and empty texts get the score of a text without features. Rows with a null doc_id are scored and never learned
-from. Rows repeated come out as often as they came in; other columns are ignored; without labels every score is 1.
+from. Of a doc_id with several labels the largest counts. Rows repeated come out as often as they came in, equal texts
+score equally; other columns are ignored; without positive labels every score is 1.
 """
 
 from __future__ import annotations
 
 import operator
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +30,10 @@ from pyspark.sql import functions as F
 
 from .shared import by_arrow, texts_of
 
-#: The most training rows.
-POSITIVES, UNLABELLED = 3000, 6000
+#: The most training rows, and validation rows of either label.
+POSITIVES, UNLABELLED, VALIDATION = 3000, 6000, 1500
 GRAMS = 1 << 11
 THRESHOLD = 0.7
-#: The share of trusted positives that may lie below the place from which the threshold is taken.
-LOWEST = 0.001
 _CLASS = np.zeros((256, 8))
 for _b in range(256):
     _CLASS[_b] = [65 <= _b <= 90, 97 <= _b <= 122, 48 <= _b <= 57, _b in b" \t\r\x0b\x0c", _b == 10, _b in b".,;:'\"-()", _b >= 128, _b in b"!#$%&*+/<=>?@[\\]^_`{|}~"]
@@ -71,33 +74,35 @@ def matrix(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 60, size: int = 512, rate: float = 0.01, decay: float = 1e-5, seed: int = 5) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+def loss(x: np.ndarray, sign: int, w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+    """The mean logistic loss of rows x taken as of class `sign`, and its gradient by weights and bias."""
+    z = sign * (x @ w + b)
+    slope = -sign / (1 + np.exp(np.clip(z, -30, 30))) / len(x)
+    return float(np.logaddexp(0, -z).mean()), np.append(slope @ x, slope.sum())
+
+
+def risk(p: np.ndarray, u: np.ndarray, prior: float, w: np.ndarray, b: float) -> tuple[float, float, np.ndarray]:
+    """The non-negative unbiased risk, its unlabelled part before it is cut at 0, and the direction of the step against it."""
+    positive, up = loss(p, 1, w, b)
+    inner, down = loss(p, -1, w, b)
+    outer, away = loss(u, -1, w, b)
+    part = outer - prior * inner
+    return prior * positive + max(0.0, part), part, prior * up + away - prior * down if part >= 0 else prior * down - away
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 20, size: int = 512, rate: float = 0.03, decay: float = 1e-5, seed: int = 5) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
     """Weights, bias, means and scales of the model of least non-negative risk (logistic loss)."""
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 1e-2
-    both -= mean
-    both /= scale
-    xp, xu = both[: len(positive)], both[len(positive) :]
+    mean, scale = both_of(positive, unlabelled)
+    xp, xu = (positive - mean) / scale, (unlabelled - mean) / scale
     rng = np.random.default_rng(seed)
-    w, b = np.zeros(both.shape[1]), float(np.log(prior / (1 - prior)))
+    w, b = np.zeros(xp.shape[1]), float(np.log(prior / (1 - prior)))
     m, v, t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
     total, count = np.zeros(len(w) + 1), 0
-
-    def risk(x: np.ndarray, sign: int) -> tuple[float, np.ndarray]:
-        z = sign * (x @ w + b)
-        slope = -sign / (1 + np.exp(np.clip(z, -30, 30))) / len(x)
-        return float(np.logaddexp(0, -z).mean()), np.append(slope @ x, slope.sum())
-
     steps = max(1, len(xu) // size)
     for turn in range(rounds):
         order, chosen = rng.permutation(len(xu)), rng.permutation(max(len(xp), 1))
         for k in range(steps):
-            u = xu[order[k::steps]]
-            p = xp[chosen[np.arange(k * size, (k + 1) * size) % len(xp)]]
-            _, up = risk(p, 1)
-            negative, down = risk(p, -1)
-            other, away = risk(u, -1)
-            gradient = prior * up + away - prior * down if other - prior * negative >= 0 else prior * down - away
+            _, _, gradient = risk(xp[chosen[np.arange(k * size, (k + 1) * size) % len(xp)]], xu[order[k::steps]], prior, w, b)
             gradient[:-1] += decay * w * len(w)
             t += 1
             m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
@@ -108,52 +113,106 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     return (total / count)[:-1], float((total / count)[-1]), mean, scale
 
 
-def shifted(model: tuple, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple:
-    """The model with its bias moved: THRESHOLD is halfway from the 1 - prior quantile of the unlabelled to the lowest positives."""
+def both_of(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and scales over the rows of all parts, which are not put together."""
+    n = sum(map(len, parts))
+    mean = sum(p.sum(0, dtype=np.float64) for p in parts) / n
+    square = sum(((p - mean) ** 2).sum(0, dtype=np.float64) for p in parts) / n
+    return mean.astype(np.float32), (np.sqrt(square) + 1e-2).astype(np.float32)
+
+
+def logits(model: tuple, x: np.ndarray) -> np.ndarray:
     w, b, mean, scale = model
-    v = w / scale
-    cut = (np.quantile(unlabelled @ v, 1 - prior) + np.quantile(positive @ v, LOWEST)) / 2 - float(mean @ v)
-    return w, float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut), mean, scale
+    return ((x - mean) / scale) @ w + b
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from these two alone.
+
+    Above any score there are prior * (share of positives above it) unlabelled rows at least, and no more where no negative
+    is above it; so the smallest ratio of the two shares, over scores that enough rows are above, is the prior.
+    """
+    model = fit(positive[::2], unlabelled[::2], 0.5, rounds=15)
+    p, u = np.sort(logits(model, positive[1::2])), np.sort(logits(model, unlabelled[1::2]))
+    if not len(p) or not len(u):
+        return 0.5
+    above_p, above_u = 1 - np.arange(len(p)) / len(p), 1 - np.searchsorted(u, p, "left") / len(u)
+    chance = np.sqrt(np.log(4 / delta) / 2 / len(u)) + np.sqrt(np.log(4 / delta) / 2 / len(p))
+    at = int(np.argmin((above_u + chance) / above_p))
+    return float(np.clip(above_u[at] / above_p[at], 0.02, 0.98))
+
+
+def shifted(model: tuple, good: np.ndarray, bad: np.ndarray, prior: float) -> tuple:
+    """The model with its bias moved so that THRESHOLD falls where most rows are right at the prior, in the middle of the widest such gap."""
+    w, b, mean, scale = model
+    g, d = (np.sort(logits(model, x)) if len(x) else np.zeros(0) for x in (good, bad))
+    if not len(g):
+        return model
+    cuts = np.unique(np.concatenate([g, d]))
+    right = prior * (1 - np.searchsorted(g, cuts, "left") / len(g)) + (1 - prior) * (np.searchsorted(d, cuts, "left") / len(d) if len(d) else 0)
+    # A cut at a score accepts it; the cut may lie anywhere down to the score before.
+    gap = np.diff(np.concatenate([[cuts[0] - 1], cuts]))
+    best = np.flatnonzero(right >= right.max() - 1e-12)
+    at = best[gap[best].argmax()]
+    return w, float(b + np.log(THRESHOLD / (1 - THRESHOLD)) - (cuts[at] - gap[at] / 2)), mean, scale
 
 
 def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
-def drawn(rows: DataFrame, most: int, salt: int) -> DataFrame:
-    """At most `most` rows, those of the smallest hashes of their ids."""
-    return rows.withColumn("mark", F.xxhash64(F.lit(salt), "doc_id")).orderBy("mark", "doc_id", "text").limit(most)
+def smallest(rows: DataFrame, most: int, salt: int) -> DataFrame:
+    """At most `most` ids, those of the smallest hashes."""
+    return rows.select("doc_id").distinct().withColumn("mark", F.xxhash64(F.lit(salt), "doc_id")).orderBy("mark", "doc_id").limit(most).select("doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED):
+def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED, validation: int = VALIDATION):
     """The model, or None where no row can be learned from. labels: (doc_id, quality)."""
     known = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("q")).where("id is not null and q is not null").groupBy("id").agg(F.max("q").alias("q"))
+    held = remainder(4) == 1
     known = known.select(F.col("id").alias("doc_id"), "q").where(learn)
-    tally = {r.q: r.n for r in known.groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not tally.get(1):
-        return None
-    prior = min(0.98, max(0.02, tally[1] / (tally[1] + tally.get(0, 0))))
     body = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & learn)
     # The ids are drawn first, from one column; each set has a fixed bound, so that its join needs no shuffle of texts.
-    chosen = known.where("q = 1").withColumn("mark", F.xxhash64(F.lit(1), "doc_id")).orderBy("mark").limit(positives).select("doc_id")
-    web = body.select("doc_id").withColumn("mark", F.xxhash64(F.lit(2), "doc_id")).orderBy("mark").limit(unlabelled).select("doc_id").distinct()
-    xp, xu = (matrix([(r.text or "").encode() for r in body.join(F.broadcast(x), "doc_id").orderBy("doc_id", "text").select("text").toLocalIterator()]) for x in (chosen, web))
-    if not len(xp) or not len(xu):
+    sets = {
+        "positive": smallest(known.where(F.col("q") == 1).where(~held), positives, 1), "web": smallest(body.where(~held), unlabelled, 2),
+        "good": smallest(known.where(F.col("q") == 1).where(held), validation, 3), "bad": smallest(known.where(F.col("q") != 1).where(held), validation, 4),
+    }
+    ids = None
+    for name, own in sets.items():
+        own = own.select("doc_id", F.lit(name).alias("part"))
+        ids = own if ids is None else ids.union(own)
+    parts = ids.groupBy("doc_id").agg(F.collect_set("part").alias("parts"))
+    chosen = body.join(F.broadcast(parts), "doc_id").select("doc_id", "text", F.array_join(F.sort_array("parts"), ",").alias("parts"))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [features(x).astype(np.float16).tobytes() for x in texts_of(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["doc_id", "parts", "row"])
+
+    found = by_arrow(chosen, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, parts string, row binary", 4 << 20).toArrow()
+    if not found.num_rows:
         return None
-    return tuple(np.asarray(x, np.float32) if isinstance(x, np.ndarray) else x for x in shifted(fit(xp, xu, prior), xp, xu, prior))
+    found = found.sort_by([("doc_id", "ascending"), ("row", "ascending")])
+    whole = np.stack([np.frombuffer(r.as_buffer(), np.float16) for r in found.column("row")])
+    of = [set(p.split(",")) for p in found.column("parts").to_pylist()]
+    xp, xu, good, bad = (whole[np.array([name in p for p in of])].astype(np.float32) for name in sets)
+    if not len(xp) or not len(xu):
+        xp = good if not len(xp) else xp  # a table so small that all its positives are held back
+        if not len(xp) or not len(xu):
+            return None
+    prior = class_prior(xp, xu)
+    model = fit(xp, xu, prior)
+    return tuple(np.asarray(x, np.float32) if isinstance(x, np.ndarray) else x for x in shifted(model, good if len(good) else xp, bad, prior))
+
+
+def scores(model, texts: list[bytes]) -> np.ndarray:
+    return np.ones(len(texts)) if model is None else 1 / (1 + np.exp(-np.clip(logits(model, matrix(texts)), -30, 30)))
 
 
 def scored(docs: DataFrame, model) -> DataFrame:
     """(doc_id, score) of each row of docs (doc_id, text)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = texts_of(batch.column(1))
-        if model is None:
-            score = np.ones(len(texts))
-        else:
-            w, b, mean, scale = model
-            score = 1 / (1 + np.exp(-np.clip(((matrix(texts) - mean) / scale) @ w + b, -30, 30)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score.astype(np.float64))], ["doc_id", "score"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(model, texts_of(batch.column(1))).astype(np.float64))], ["doc_id", "score"])
 
     return by_arrow(docs.select("doc_id", "text"), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double", 4 << 20)
 
@@ -171,15 +230,6 @@ def accept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     names = docs.columns
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = texts_of(batch.column(names.index("text")))
-        if model is None:
-            return batch
-        w, b, mean, scale = model
-        score = 1 / (1 + np.exp(-np.clip(((matrix(texts) - mean) / scale) @ w + b, -30, 30)))
-        return batch.filter(pa.array(score >= threshold))
+        return batch.filter(pa.array(scores(model, texts_of(batch.column(names.index("text")))) >= threshold))
 
     return by_arrow(docs, work, docs.schema, 4 << 20)
-
-
-def crc(value: int) -> int:
-    return zlib.crc32(str(value).encode())

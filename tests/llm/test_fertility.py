@@ -31,15 +31,45 @@ def test_counts(spark):
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
         assert not (r.base_failed and r.kept)
     assert fertility.rules(docs.limit(0)).count() == 0
-    table = fertility.Pieces(fertility.default_vocabulary())
+    model, _ = fertility.pieces(fertility.default_vocabulary())
     words = ["ein", "Haus", "ein", "漢", "ሴ"]
-    ids = [i for w in words for i in table.model.encode(w)]
+    ids = [i for w in words for i in model.encode(w)]
     share = np.array(list(Counter(ids).values())) / len(ids)
-    n, fallback, bits = table.counts(table.of([w.encode() for w in words]))
-    assert (n, fallback) == (len(ids), int(sum(table.model.is_byte(i) for i in ids)))
+    others = fertility.ranked(fertility.default_ranks()).encode_ordinary(" ".join(words))
+    per, per_rank, fallback, bits = fertility.fertility(" ".join(words), 12, fertility.default_vocabulary(), fertility.default_ranks())
+    assert (per, per_rank) == (12 / len(ids), 12 / len(others)) and fallback == sum(map(model.is_byte, ids)) / len(ids) > 0
     assert abs(bits + (share * np.log2(share)).sum()) < 1e-9
 
 
+def test_learned_bands_against_a_plain_version(spark):
+    """Quartiles by sorting, group by group; a null language, repeated rows and null ids are rows like any other."""
+    rows = [(r.doc_id, r.text, r.lang if r.doc_id % 9 else None) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += rows[:30] + [(None, *rows[3][1:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = fertility.rules(docs, spread=2.0, least=25).collect()
+    assert len(got) == len(rows)
+    passing = [r for r in got if not r.base_failed]
+
+    def band(group, figure):
+        values = sorted(r[figure] for r in group)
+        low, middle, high = (values[max(0, -(-int(q * 4) * len(values) // 4) - 1)] for q in (0.25, 0.5, 0.75))
+        floor, lower, upper = fertility.FIGURES[figure]
+        return low - 2.0 * max(middle - low, floor) if lower else -np.inf, high + 2.0 * max(high - middle, floor) if upper else np.inf
+
+    rejected = 0
+    for r in got:
+        groups = ([x for x in passing if (x.script, x.lang) == (r.script, r.lang)], [x for x in passing if x.script == r.script], passing)
+        group = next((g for g in groups if len(g) >= 25), None)
+        want = [f for f in fertility.FIGURES if group and not band(group, f)[0] <= r[f] <= band(group, f)[1]]
+        low, high, most, bits = fertility.LIMITS[r.script]
+        limits = {"chars_per_token": low <= r.chars_per_token <= high, "fallback_share": r.fallback_share <= most, "token_entropy": r.token_entropy >= bits}
+        want = [f for f in fertility.FIGURES if f in want or not limits.get(f, True)]
+        assert r.outside == ",".join(want) and r.kept == (not r.base_failed and not want)
+        rejected += bool(want) and not r.base_failed
+    assert rejected
+    assert sum(x.n for x in fertility.rejects(spark.createDataFrame(got, fertility.rules(docs.limit(0)).schema)).collect()) >= rejected
+
+
 def test_verdicts(spark):
     good = (
         "When the old bridge was closed for repairs last spring, traders on both banks feared that customers would stay away until autumn. "

@@ -62,3 +62,57 @@ def test_short_texts_are_learned_from(spark):
     rows += [(900, "the house and the garden", None), (901, "das haus und der garten", None)]
     found = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert (found[900], found[901]) == ("en", "de")
+
+
+def test_many_languages_and_all_short_texts(spark):
+    """250 languages of short texts: every one is learned, and lettered text is never und."""
+    rng = np.random.default_rng(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [["".join(rng.choice(list(letters), rng.integers(3, 8))) for _ in range(12)] for _ in range(250)]
+    rows = [(k * 100 + i, " ".join(rng.choice(words[k], 6)), f"l{k:03}") for k in range(250) for i in range(12)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    marks = {r[0]: r[2] for r in rows}
+    assert all(r.lang_pred != "und" for r in got)
+    assert {r.lang_pred for r in got} == set(marks.values())
+    assert np.mean([r.lang_pred == marks[r.doc_id] for r in got if r.held_out]) > 0.9
+
+
+def test_every_word_of_a_drawn_text_is_drawn(spark):
+    """Tails and short texts are segments too; of longer texts than SEGMENTS segments so many are taken."""
+    rows = [(1, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)), "en"), (2, "kurz", "de"), (3, "x " * 24 * 40, "fr"), (4, "12 .", "es"), (5, None, "it"), (6, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r.mark_lang, r.words) for r in langid.drawn(docs, langid.F.lit(True)).collect()]
+    assert sorted(w for m, x in got if m == "en" for w in x.split()) == sorted(rows[0][1].split())
+    assert [x for m, x in got if m == "de"] == ["kurz"] and sum(m == "fr" for m, _ in got) == langid.SEGMENTS
+    assert {m for m, _ in got} == {"en", "de", "fr"}
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(5)
+    rows, length, n = 3, 5, 3
+    emission, moves, first = rng.normal(size=(rows, length, n)), rng.normal(size=(n, n)), rng.normal(size=n)
+    marks, sizes = rng.integers(0, n, (rows, length)), np.array([5, 1, 3])
+    valid = np.arange(length) < sizes[:, None]
+
+    def likelihood(e, m, f):
+        out = 0.0
+        for r in range(rows):
+            score = lambda p: f[p[0]] + sum(e[r, t, k] for t, k in enumerate(p)) + sum(m[a, b] for a, b in itertools.pairwise(p))
+            every = [score(p) for p in itertools.product(range(n), repeat=int(sizes[r]))]
+            out += score(marks[r, : sizes[r]]) - np.logaddexp.reduce(every)
+        return out / rows
+
+    got = langid.slopes(emission, marks, valid, moves, first)
+    for which, value in enumerate((emission, moves, first)):
+        for at in np.ndindex(value.shape):
+            ends = []
+            for d in (1e-5, -1e-5):
+                parts = [x.copy() for x in (emission, moves, first)]
+                parts[which][at] += d
+                ends.append(likelihood(*parts))
+            assert abs(got[which][at] - (ends[0] - ends[1]) / 2e-5) < 1e-6
+
+
+def test_ties_and_several_languages_of_an_id(spark):
+    rows = [(i, "same words here", lang) for i in range(30) for lang in ("bb", "aa")]
+    assert {r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} == {"aa"}

@@ -42,3 +42,56 @@ def test_risk_separates_what_positives_lack():
     w, b, mean, scale = quality.fit(good[:300], np.concatenate([good[300:], bad[:300]]), 0.5)
     score = lambda x: ((x - mean) / scale) @ w + b
     assert (score(good) > 0).mean() > 0.97 and (score(bad) < 0).mean() > 0.97
+
+
+def test_risk_and_gradient_against_a_plain_version():
+    np = pytest.importorskip("numpy")
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(1, 1, (7, 3)), rng.normal(0, 1, (9, 3))
+    seen = set()
+    for prior in (0.2, 0.5, 0.95):
+        for _ in range(6):
+            w, b = rng.normal(size=3) * 2, float(rng.normal())
+            score = lambda x, w=w, b=b: [sum(a * c for a, c in zip(r, w, strict=True)) + b for r in x]
+            mean = lambda zs, sign: sum(np.log(1 + np.exp(-sign * z)) for z in zs) / len(zs)
+            part = mean(score(u), -1) - prior * mean(score(p), -1)
+            value, got, step = quality.risk(p, u, prior, w, b)
+            assert np.isclose(value, prior * mean(score(p), 1) + max(0, part)) and np.isclose(got, part)
+            # The step goes against the whole risk, or, where the unlabelled part is negative, up that part.
+            wanted = (lambda w, b: quality.risk(p, u, prior, w, b)[0]) if part >= 0 else (lambda w, b: -quality.risk(p, u, prior, w, b)[1])
+            both = np.append(w, b)
+            for k in range(4):
+                d = np.eye(4)[k] * 1e-6
+                slope = (wanted((both + d)[:3], (both + d)[3]) - wanted((both - d)[:3], (both - d)[3])) / 2e-6
+                assert np.isclose(step[k], slope, atol=1e-5)
+            seen.add(part >= 0)
+    assert seen == {True, False}
+
+
+def test_prior_is_estimated_without_negatives():
+    np = pytest.importorskip("numpy")
+    rng = np.random.default_rng(4)
+    for prior in (0.3, 0.6, 0.9):
+        n = int(3000 * prior)
+        web = np.concatenate([rng.normal(1, 1, (n, 4)), rng.normal(-2, 1, (3000 - n, 4))])[rng.permutation(3000)]
+        assert abs(quality.class_prior(rng.normal(1, 1, (3000, 4)), web) - prior) < 0.08
+
+
+def test_threshold_against_every_cut():
+    np = pytest.importorskip("numpy")
+    rng = np.random.default_rng(6)
+    model = (np.array([1.0]), 0.0, np.array([0.0]), np.array([1.0]))
+    for _ in range(30):
+        good, bad = np.round(rng.normal(1, 1, (20, 1)), 1), np.round(rng.normal(-1, 1, (15, 1)), 1)
+        w, b, _, _ = quality.shifted(model, good, bad, 0.8)
+        cut = np.log(0.7 / 0.3)
+        right = lambda c: 0.8 * (good >= c).mean() + 0.2 * (bad < c).mean()
+        assert np.isclose(0.8 * (good + b >= cut).mean() + 0.2 * (bad + b < cut).mean(), max(right(c) for c in np.unique(np.concatenate([good, bad]))))
+
+
+def test_ties_and_repeated_labels(spark):
+    """Equal texts score equally; of several labels of a doc_id the largest counts; a table of one text works."""
+    docs = spark.createDataFrame([(i, "the same text " * 5) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, 1) for i in range(0, 40, 4)], "doc_id long, quality int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == 40 and len({r.score for r in got}) == 1

@@ -30,6 +30,24 @@ def test_odd_rows(spark):
     assert sharding.digests(docs.limit(0)).count() == 0
 
 
+def test_equal_rows_are_spread(spark):
+    """A row that is half of the table goes to many buckets; each copy has a slot, and the columns of the pass clash with nothing."""
+    rows = [(7, "same", 0)] * 400 + [(100 + n, f"text {n}", n) for n in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark_of_pass int")
+    out = sharding.shuffled(docs, shards=4, bucket_bytes=300).collect()
+    assert Counter((r.doc_id, r.text, r.mark_of_pass) for r in out) == Counter(rows)
+    counts = Counter(r.shard for r in out)
+    assert all(sorted(r.slot for r in out if r.shard == s) == list(range(200)) for s in range(4)) and set(counts) == set(range(4))
+    assert all(60 < n < 140 for n in Counter(r.shard for r in out if r.doc_id == 7).values())
+
+
+def test_tasks_go_through_buckets(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one = sorted((r.doc_id, r.shard, r.slot) for r in sharding.shuffled(docs, bucket_bytes=5000).collect())
+    monkeypatch.setattr(sharding, "MOST_TASKS", 3)
+    assert sorted((r.doc_id, r.shard, r.slot) for r in sharding.shuffled(docs, bucket_bytes=5000).collect()) == one
+
+
 def test_fisher_yates_is_uniform():
     seen = Counter(tuple(sharding.fisher_yates(3, (7, k))) for k in range(3000))
     assert len(seen) == 6 and min(seen.values()) > 400
