@@ -230,7 +230,7 @@ def native_pieces(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 
 def coded(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """docs without text, with n_tokens and ids; each text is decoded from its ids and compared."""
+    """docs without text, with n_tokens and ids, in the place of columns of these names; each text is decoded from its ids and compared."""
     path = ranks or default_ranks()
     names = [c for c in docs.columns if c not in ("text", "n_tokens", "ids")]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,7 +101,7 @@ ORACLES["op10_token_rollup"] = _ROLLUP
 def op3_repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
     from .substrings import digests
 
-    return digests(documents(spark, sf))
+    return digests(documents(spark, sf)).withColumn("repeats", F.col("n_removed") > 0)
 
 
 QUERIES["op3_repeated_substrings"] = op3_repeated_substrings

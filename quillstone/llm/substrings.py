@@ -15,7 +15,9 @@ start with the same core, and one position in a hundred is enough.
    over BUCKET distinct runs gives its windows to a grouped count instead, which needs no bucket in memory.
 3. The repeats of each document are merged and cut out.
 
-Hashes of runs have 128 bits together; windows that differ in part are compared by their bytes.
+Hashes of runs have 128 bits together; windows that differ in part are compared by their bytes, those of buckets over BUCKET
+by two 64-bit hashes of what is beside the core. A core that very many texts share costs its task a row for each MB of
+input at most, which streams through sorted; of its distinct runs over BUCKET no task holds more than their windows' counts.
 
 Nulls: a null text is empty bytes. Texts under WINDOW bytes stay whole. Rows with a null doc_id count as documents. Rows
 repeated are repeats of each other. Extra columns are ignored by `digests` and kept by `cleaned`.

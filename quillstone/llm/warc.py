@@ -5,8 +5,11 @@ page_id is a response and the others are revisits, which carry no payload but it
 refer to. Tasks write archive files of bounded size to the shared folder, under names of their own; a file counts only if
 the committed table of captures names it, so that a task that is run again, or an executor that is lost, leaves nothing
 in the result. The captures are sorted by reversed-host URL keys and written as compressed blocks of BLOCK lines, with a
-sparse directory of one entry a block. A lookup finds its blocks by binary search in the directory, reads their byte
-ranges, and then the byte ranges of the records.
+sparse directory of one entry a block, and fences of one entry for each file of the directory, so that a reader holds the
+fences and the files of the directory that it is at, never the whole. A lookup finds its blocks by binary search in the
+fences and the directory, reads their byte ranges, finds its lines by binary search in the block, and reads the byte ranges
+of the records. `captures_of` does so for a table of URLs: keys sorted by range search the directory, then keys meet the
+blocks that hold them, so that a key with very many captures is read by as many tasks as it has blocks.
 
 Nulls: a null html is an empty payload, a null url has an empty target. Rows that repeat a page_id with an equal payload
 tie: if that page_id is the smallest, each is a response. A null page_id counts as larger than any other. Further columns
@@ -25,11 +28,12 @@ from bisect import bisect_left, bisect_right
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import by_arrow, shared_folder
+from .shared import by_arrow, joined, shared_folder
 
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of an archive file; lines of an index block.
@@ -102,8 +106,8 @@ def roles(pages: DataFrame, smallest: int = 0) -> DataFrame:
     """(page_id, url, payload, owner): owner is the page to refer to, -1 for a response."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
-    first = rows.where(F.col("size") >= smallest).groupBy("digest", "size").agg(F.min("page_id").alias("first")).select(F.col("digest").alias("d"), F.col("size").alias("s"), "first")
-    both = rows.join(first, (rows["digest"] == first["d"]) & (rows["size"] == first["s"]), "left")
+    first = rows.where(F.col("size") >= smallest).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    both = joined(rows, first, ["digest", "size"], ["first"], pages.count())
     owner = F.when(F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first")), F.lit(-1)).otherwise(F.col("first"))
     return both.select("page_id", "url", "payload", owner.alias("owner"))
 
@@ -165,9 +169,87 @@ def write(pages: DataFrame, folder: str | None = None, smallest: int = 0, file_b
 
     directory = captures.repartitionByRange("key", "page_id", "file", "start").sortWithinPartitions("key", "page_id", "file", "start").mapInArrow(blocks, "first_key string, last_key string, file string, start long, length long, lines long")
     directory.write.parquet(f"{folder}/directory")
+    told = spark.read.parquet(f"{folder}/directory").groupBy(F.input_file_name().alias("path")).agg(F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
+    told.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "first_key", "last_key").orderBy("first_key", "last_key").coalesce(1).write.parquet(f"{folder}/fences")
     return folder
 
 
+class Directory:
+    """The sparse directory: the fences are held, its files as they are needed, KEPT at a time."""
+
+    KEPT = 4
+
+    def __init__(self, folder: str):
+        self.disk, self.root = opened(folder)
+        found = [f for f in self.disk.get_file_info(fs.FileSelector(f"{self.root}/fences")) if f.path.endswith(".parquet")]
+        rows = sorted((r["first_key"], r["last_key"], r["file"]) for f in found for r in pq.read_table(self.disk.open_input_file(f.path)).to_pylist())
+        self.first, self.last, self.files = ([r[k] for r in rows] for k in range(3))
+        self.held: dict[str, tuple[list[str], list[str], list[tuple[str, int, int]]]] = {}
+
+    def part(self, file: str) -> tuple[list[str], list[str], list[tuple[str, int, int]]]:
+        if file not in self.held:
+            if len(self.held) >= self.KEPT:
+                del self.held[next(iter(self.held))]
+            rows = sorted((r["first_key"], r["last_key"], r["file"], r["start"], r["length"]) for r in pq.read_table(self.disk.open_input_file(f"{self.root}/directory/{file}")).to_pylist())
+            self.held[file] = [r[0] for r in rows], [r[1] for r in rows], [r[2:] for r in rows]
+        return self.held[file]
+
+    def blocks(self, key: str) -> list[tuple[str, int, int]]:
+        """(file, start, length) of the index blocks that may hold the key: binary search in the fences, then in the directory."""
+        found = []
+        for file in self.files[bisect_left(self.last, key) : bisect_right(self.first, key)]:
+            first, last, entries = self.part(file)
+            found += entries[bisect_left(last, key) : bisect_right(first, key)]
+        return found
+
+    def lines(self, block: tuple[str, int, int]) -> list[str]:
+        with self.disk.open_input_file(f"{self.root}/index/{block[0]}") as handle:
+            return read_range(handle, block[1], block[2]).decode().split("\n")[:-1]
+
+
+def lines_of(lines: list[str], key: str) -> list[tuple]:
+    """(key, page_id, file, start, length) of the key's lines in a block, by binary search."""
+    found = []
+    for line in lines[bisect_left(lines, f"{key} ") :]:
+        own, _, rest = line.partition(" ")
+        if own != key:
+            break
+        found.append((key, *json.loads(rest)))
+    return found
+
+
+CAPTURE = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+
+
+def captures_of(spark: SparkSession, folder: str, urls: DataFrame) -> DataFrame:
+    """(key, page_id, file, start, length) of every capture of the urls (url), each once."""
+
+    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())], ["key"])
+
+    def search(rows):
+        directory = Directory(folder)
+        for batch in rows:
+            out = [(key, *block) for key in batch.column(0).to_pylist() for block in directory.blocks(key)]
+            for at in range(0, len(out), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 10_000], strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "file", "start", "length"])
+
+    def look(rows):
+        directory, block, lines = Directory(folder), None, []
+        for batch in rows:
+            out = []
+            for key, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != block:
+                    block, lines = own, directory.lines(tuple(own))
+                out += lines_of(lines, key)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), CAPTURE, strict=True)], ["key", "page_id", "file", "start", "length"])
+
+    asked = by_arrow(urls.select("url").distinct(), keys, "key string").distinct()
+    found = asked.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(search, "key string, file string, start long, length long")
+    return found.repartition("file", "start").sortWithinPartitions("file", "start", "key").mapInArrow(look, "key string, page_id long, file string, start long, length long")
+
+
 def index_lines(folder: str, entries: DataFrame) -> DataFrame:
     """The capture lines of blocks: entries are rows of the directory."""
 
@@ -186,7 +268,11 @@ def index_lines(folder: str, entries: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """Every record, by way of the index: directory, blocks, byte ranges of the archive files."""
-    lines = index_lines(folder, spark.read.parquet(f"{folder}/directory"))
+    return records(spark, folder, index_lines(folder, spark.read.parquet(f"{folder}/directory")), payloads)
+
+
+def records(spark: SparkSession, folder: str, lines: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records of capture lines (file, start, length), read by byte ranges."""
     # A file's captures go to one task in the order of their bytes; files have a bounded size. The number of tasks is given,
     # as the lines are so much smaller than the records that they would be gathered in a few otherwise.
     files = spark.read.parquet(f"{folder}/captures").select("file").distinct().count()
@@ -215,33 +301,27 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
 
 
 class Lookup:
-    """Point reads: binary search in the directory, then one range read a block and one a record."""
+    """Point reads from one process."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.disk, self.root = opened(folder)
-        rows = sorted(spark.read.parquet(f"{folder}/directory").collect(), key=lambda r: (r.first_key, r.last_key))
-        self.rows, self.first, self.last = rows, [r.first_key for r in rows], [r.last_key for r in rows]
+        self.directory = Directory(folder)
         self.blocks_read = 0
 
     def get(self, url: str) -> list[dict]:
-        key, found = url_key(url), []
-        for r in self.rows[bisect_left(self.last, key) : bisect_right(self.first, key)]:
-            with self.disk.open_input_file(f"{self.root}/index/{r.file}") as handle:
-                lines = read_range(handle, r.start, r.length).decode().split("\n")[:-1]
+        found, key = [], url_key(url)
+        for block in self.directory.blocks(key):
             self.blocks_read += 1
-            for line in lines[bisect_left(lines, f"{key} ") :]:
-                if not line.startswith(f"{key} "):
-                    break
-                _, file, start, length = json.loads(line.partition(" ")[2])
-                with self.disk.open_input_file(f"{self.root}/archive/{file}") as handle:
+            for _, _, file, start, length in lines_of(self.directory.lines(block), key):
+                with self.directory.disk.open_input_file(f"{self.directory.root}/archive/{file}") as handle:
                     found.append(parse(read_range(handle, start, length)))
         return found
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each page, as read back from its archive."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each page: archived, its URL looked up in the index, read back."""
     folder = write(pages)
-    return read(pages.sparkSession, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    spark = pages.sparkSession
+    return records(spark, folder, captures_of(spark, folder, pages.select(F.col("url").cast("string").alias("url"))), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = r"""

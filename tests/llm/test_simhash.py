@@ -74,3 +74,13 @@ def test_sliced_pairs_at_other_radii():
         i, j = simhash.sliced_pairs(prints, ends, radius)
         want = {(a, b) for a in range(200) for b in range(a + 1, ends[a]) if bin(int(prints[a] ^ prints[b])).count("1") <= radius}
         assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_very_long_and_repeated_texts(spark):
+    """Texts of 400,000 words, equal and nearly so, ties of doc_ids, and a table of nothing but copies."""
+    long = " ".join(f"w{i}" for i in range(400_000))
+    rows = [(5, long), (3, long + " end"), (3, long + " end"), (9, None), (8, ""), (7, " \t")]
+    got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    prints = {d: f for d, f, _ in got}
+    assert len(got) == 6 and {c for d, _, c in got if d in (3, 5)} == ({3} if bin(int(prints[3], 16) ^ int(prints[5], 16)).count("1") <= 2 else {3, 5})
+    assert all((f, c) == ("0" * 16, 7) for d, f, c in got if d in (7, 8, 9))

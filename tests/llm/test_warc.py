@@ -51,6 +51,32 @@ def test_lookup_reads_few_blocks(spark, monkeypatch):
     assert whole.count(b"WARC/1.1\r\n") == 60
 
 
+def test_distributed_lookup(spark, monkeypatch):
+    """A key of many blocks, keys of one, repeated, absent and null URLs; each capture once; few directory files are held."""
+    monkeypatch.setattr(warc, "BLOCK", 4)
+    rows = [(i, "http://hot.org/" if i % 3 == 0 else None if i % 50 == 1 else f"http://h{i % 7}.org/p{i // 2}", f"page {i}") for i in range(200)]
+    folder = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8), file_bytes=3000)
+    urls = spark.createDataFrame([(r[1],) for r in rows] + [("http://absent.org/",), (rows[0][1],)], "url string")
+    lines = warc.captures_of(spark, folder, urls)
+    assert sorted(r.page_id for r in lines.collect()) == list(range(200))
+    some = warc.captures_of(spark, folder, urls.where("url = 'http://hot.org/' or url like 'http://absent%'"))
+    assert sorted(r.page_id for r in warc.records(spark, folder, some).collect()) == list(range(0, 200, 3))
+    directory = warc.Directory(folder)
+    assert directory.blocks("zz") == [] and len(directory.blocks(warc.url_key("http://hot.org/"))) >= 67 // 4
+    monkeypatch.setattr(warc.Directory, "KEPT", 1)
+    assert len(warc.Directory(folder).blocks(warc.url_key("http://hot.org/"))) >= 67 // 4 and len(directory.held) <= 4
+
+
+def test_hot_payload(spark, monkeypatch):
+    """A payload of half of the pages is found by the broadcast, the others by the shuffle."""
+    from quillstone.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_KEYS", 1)
+    rows = [(i, f"http://a/{i}", "same" if i % 2 else f"p{i // 4}") for i in range(3000)]
+    got = sorted(tuple(r) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == plain([(p, h) for p, _, h in rows])
+
+
 def test_keys():
     assert warc.url_key("http://www.b.org:80/x?y") == "org,b)/x?y"
     assert warc.url_key("https://a.b.org:8443") == "org,b,a:8443)/"
