@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import bpe, decontamination, neargroups, quality, substrings
-from quillstone.llm.shared import stored
+from quillstone.llm.shared import removed, scratch, shared_folder
 
 #: Bytes of a repeated passage, some fifty short words, and of the strings by which passages meet.
 PASSAGE, CORE = 230, 100
@@ -50,8 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if n == len(STAGES) - 1 else stored(out, f"stage-{n}")
-    return docs
+    """The rows of the last stage. What a stage leaves in the shared folder is deleted when the stage is written, and the
+    table that it read when the next one is; the last one's is left, as the result is read from it."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        before, path = path, shared_folder(spark, f"stage-{n}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            removed(spark, before)
+    return STAGES[-1][1](spark, docs, sf_dir)
