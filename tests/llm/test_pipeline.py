@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import tiktoken
-from quillstone.llm import bpe, neargroups, simhash
+from quillstone.llm import bpe, neargroups, simhash, shared
 
 
 def brute(texts, k=5, least=0.8):
@@ -66,7 +66,7 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     counts = []
     for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        after = corpus_pipeline.stored(stage(spark, docs, sf), f"t{n}")
+        after = shared.stored(stage(spark, docs, sf), f"t{n}")
         counts.append(after.count())
         if n < 4:
             assert after.columns == docs.columns
