@@ -135,6 +135,14 @@ def luminance(color) -> Column:
     return F.when(F.size(c) == 1, F.get(c, F.lit(0))).when(F.size(c) == 4, rgb((1 - F.get(c, F.lit(0))) * (1 - F.get(c, F.lit(3))), (1 - F.get(c, F.lit(1))) * (1 - F.get(c, F.lit(3))), (1 - F.get(c, F.lit(2))) * (1 - F.get(c, F.lit(3))))).otherwise(rgb(F.get(c, F.lit(0)), F.get(c, F.lit(1)), F.get(c, F.lit(2))))
 
 
+def cell_number(value, kind) -> Column:
+    """a number of a table cell by its kind: 5 a time in seconds since 2001, 6 a truth value, others in plain digits."""
+    v, k = _col(value), _col(kind)
+    when = F.timestamp_seconds(v + 978307200)
+    digits = F.regexp_replace(F.regexp_replace(v.cast("decimal(38,9)").cast("string"), r"(\\.\\d*?)0+$", "$1"), r"\\.$", "")
+    return F.when(k == 5, F.when(v % 86400 == 0, F.date_format(when, "yyyy-MM-dd")).otherwise(F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss"))).when(k == 6, F.when(v != 0, "TRUE").otherwise("FALSE")).otherwise(digits)
+
+
 def half_day_hour(hour, half) -> Column:
     """an hour with its half of the day as one of 24; without a half as it is."""
     h = _col(hour).try_cast("int")

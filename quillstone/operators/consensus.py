@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +12,17 @@ NUMBERS = r"\d+(?:[.,]\d+)*"
 TOKENS = r"(?U)\w+(?:[.,]\w+)*"
 
 
+@lru_cache(1)
+def folds() -> tuple[str, str]:
+    """The characters of the basic plane whose NFKC form is one other character, and these forms."""
+    every = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+    some = [(a, b) for a, b in every if a != b and len(b) == 1]
+    return "".join(a for a, _ in some), "".join(b for _, b in some)
+
+
 def folded(text: Column) -> Column:
-    """full-width digits and separators as plain ones, the part of NFKC that values meet."""
-    return F.translate(text, "０１２３４５６７８９．，", "0123456789.,")
+    """characters as their NFKC forms where these are one character (full-width, superscript, circled and so on), in the JVM."""
+    return F.translate(text, *folds())
 
 
 def verdicts(readings: DataFrame, keys: list[str], readers: DataFrame, pattern: str = NUMBERS) -> DataFrame:

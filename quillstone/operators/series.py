@@ -18,6 +18,22 @@ def gradient_bits(values: Column, n: int = 64) -> Column:
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
 
 
+def look(pixels: Column, width: int, height: int) -> Column:
+    """(shape, tone) of a picture of gray levels, row by row: a bit for each pixel that is darker than the one on its right, and their mean."""
+    at = F.sequence(F.lit(0), F.lit(height * (width - 1) - 1))
+    here = lambda k: F.floor(k / (width - 1)).cast("int") * width + k % (width - 1)
+    bits = F.transform(at, lambda k: F.when(F.get(pixels, here(k) + 1) > F.get(pixels, here(k)), F.call_function("shiftleft", F.lit(1).cast("bigint"), k.cast("int"))).otherwise(F.lit(0).cast("bigint")))
+    tone = F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x) / F.size(pixels)
+    return F.struct(F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b)).alias("shape"), tone.alias("tone"))
+
+
+def first_equal(frames: DataFrame, group: list[str], order: str, pixels: str) -> DataFrame:
+    """Each frame with the first one of its group that has the same pixels, all of them. A hash of the pixels is the key, the pixels decide."""
+    own = frames.withColumn("key", F.xxhash64(pixels))
+    first = own.groupBy(*group, "key", pixels).agg(F.min(order).alias("first"))
+    return own.join(first, [*group, "key", pixels]).select(*group, order, "first")
+
+
 def distinct_frames(frames: DataFrame, group: str, order: str, shape: str, tone: str, distance: int = 4, gap: float = 8.0) -> DataFrame:
     """(group, order, repeats): each frame with the last kept one that it repeats, or null if it is kept.
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-from . import chats, consensus, linking, pages, profiles, routing, text  # noqa: E402
+from . import chats, consensus, files, linking, pages, profiles, routing, text  # noqa: E402
 
-for part in (text, profiles, routing, chats, consensus, pages, linking):
+for part in (text, profiles, routing, chats, consensus, pages, linking, files):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

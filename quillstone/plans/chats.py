@@ -158,6 +158,27 @@ ORACLES["frame_fingerprint"] = """with e as (select vec_id, list_sum(list_transf
 select vec_id, shape, bit_count(xor(shape, 6148914691236517205))::bigint as distance from e"""
 
 
+def picture_looks(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and mean tone of pictures of 8 by 8 gray levels."""
+    e = table(spark, sf, "embeddings").select("vec_id", S.look(F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 100).cast("double")), 8, 8).alias("look"))
+    return e.select("vec_id", "look.shape", "look.tone")
+
+
+QUERIES["picture_looks"] = picture_looks
+ORACLES["picture_looks"] = """with e as (select vec_id, list_transform(embedding, lambda x: floor((x::double + 1) * 100)) as g from embeddings)
+select vec_id, list_sum(list_transform(range(0, 56), lambda k: case when g[k // 7 * 8 + k % 7 + 2] > g[k // 7 * 8 + k % 7 + 1] then 1::hugeint << k else 0::hugeint end))::bigint as shape, list_sum(g) / 64 as tone from e"""
+
+
+def equal_pictures(spark: SparkSession, sf: str) -> DataFrame:
+    """each picture with the first of its label that has the same pixels (here the signs of three values)."""
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: (x > 0).cast("int")).alias("pixels"))
+    return S.first_equal(e, ["label"], "vec_id", "pixels")
+
+
+QUERIES["equal_pictures"] = equal_pictures
+ORACLES["equal_pictures"] = 'select label, vec_id, min(vec_id) over (partition by label, embedding[1] > 0, embedding[2] > 0, embedding[3] > 0) as "first" from embeddings'
+
+
 def distinct_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Frames that repeat the last kept one."""
     e = table(spark, sf, "embeddings").select("label", "vec_id", (F.col("vec_id") / 3).cast("long").alias("shape"), F.lit(10.0).alias("tone"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import render as R
+from ..operators import files as O
 from .tables import table
 
 QUERIES = {}
@@ -133,16 +134,17 @@ select conv_id, turn, (2 + coalesce(sum(breaks + 1) over (partition by conv_id o
 
 
 def data_uris(spark: SparkSession, sf: str) -> DataFrame:
-    """data URIs decoded; what isn't one is null."""
+    """data URIs decoded, base64 or percent-encoded; what isn't one is null."""
     d = table(spark, sf, "documents").where("text is not null")
-    uri = F.when(F.col("doc_id") % 4 == 0, F.lit("http://x")).otherwise(F.concat(F.lit("data:text/plain;base64,"), F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r\n"), F.lit(""))))
-    body = F.try_to_binary(F.nullif(F.regexp_extract(uri, r"^data:[\w/+.-]*(?:;[\w=-]+)*;base64,(.*)$", 1), F.lit("")), F.lit("base64"))
+    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20")), F.lit("\n"), F.lit("%0A"))
+    uri = F.when(F.col("doc_id") % 4 == 0, F.lit("http://x")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("data:,"), escaped)).otherwise(F.concat(F.lit("data:text/plain;charset=utf-8;base64,"), F.base64(F.col("text").cast("binary"))))
+    body = O.data_uri(uri)
     return d.select("doc_id", F.octet_length(body).cast("long").alias("bytes"), F.sha2(body, 256).alias("digest"))
 
 
 QUERIES["data_uris"] = data_uris
-ORACLES["data_uris"] = """select doc_id, case when doc_id % 4 <> 0 and text <> '' then octet_length(encode(text))::bigint end as bytes,
- case when doc_id % 4 <> 0 and text <> '' then sha256(text) end as digest from documents where text is not null"""
+ORACLES["data_uris"] = """select doc_id, case when doc_id % 4 <> 0 then octet_length(encode(text))::bigint end as bytes,
+ case when doc_id % 4 <> 0 then sha256(text) end as digest from documents where text is not null"""
 
 
 def scaled_boxes(spark: SparkSession, sf: str) -> DataFrame:

@@ -121,6 +121,32 @@ ORACLES["range_cells"] = """with c as (select o_custkey % 997 as sheet, o_orderk
 select ref, r::int as r, c::int as c, v from g join c using (sheet) where r between r0 and r0 + 90 and c between 1 and 3"""
 
 
+def uncached_charts(spark: SparkSession, sf: str) -> DataFrame:
+    """Charts without values, each with the nth of those that a saved copy has at the same sheet and anchor cell (here line items and orders)."""
+    charts = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 4000).alias("sheet"), (F.col("l_linenumber") % 2).cast("long").alias("cell"), F.col("l_orderkey").alias("chart"), F.col("l_linenumber").alias("place"), "l_partkey", "l_suppkey")
+    saved = table(spark, sf, "orders").select((F.col("o_orderkey") % 4000).alias("sheet"), (F.col("o_custkey") % 2).alias("cell"), F.col("o_orderkey").alias("copy"))
+    return O.nth_to_nth(charts, saved, ["sheet", "cell"], ["chart", "place", "l_partkey", "l_suppkey"], ["copy"]).select("sheet", "cell", "chart", "place", "copy")
+
+
+QUERIES["uncached_charts"] = uncached_charts
+ORACLES["uncached_charts"] = """with c as (select l_orderkey % 4000 as sheet, l_linenumber::bigint % 2 as cell, l_orderkey as chart, l_linenumber as place, row_number() over (partition by l_orderkey % 4000, l_linenumber % 2 order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as nth from lineitem),
+s as (select o_orderkey % 4000 as sheet, o_custkey % 2 as cell, o_orderkey as copy, row_number() over (partition by o_orderkey % 4000, o_custkey % 2 order by o_orderkey) as nth from orders)
+select sheet, cell, chart, place, copy from c join s using (sheet, cell, nth)"""
+
+
+def cell_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """numbers of table cells by their kind."""
+    o = table(spark, sf, "orders").withColumn("kind", F.element_at(F.array(F.lit(2), F.lit(5), F.lit(6)), (F.col("o_orderkey") % 3 + 1).cast("int")))
+    value = F.when(F.col("kind") == 5, F.col("o_orderkey") * F.when(F.col("o_orderkey") % 2 == 0, 86400).otherwise(3607)).when(F.col("kind") == 6, F.col("o_orderkey") % 2).otherwise(F.when(F.col("o_orderkey") % 4 == 0, F.floor("o_totalprice")).otherwise(F.col("o_totalprice")))
+    return o.select("o_orderkey", R.cell_number(value.cast("double"), F.col("kind")).alias("shown"))
+
+
+QUERIES["cell_numbers"] = cell_numbers
+ORACLES["cell_numbers"] = r"""with o as (select o_orderkey as k, o_totalprice as p, timestamp '2001-01-01' + to_seconds(o_orderkey * case when o_orderkey % 2 = 0 then 86400 else 3607 end) as t from orders)
+select k as o_orderkey, case k % 3 when 1 then case when t = date_trunc('day', t) then strftime(t, '%Y-%m-%d') else strftime(t, '%Y-%m-%dT%H:%M:%S') end when 2 then case when k % 2 = 1 then 'TRUE' else 'FALSE' end
+ else regexp_replace(regexp_replace((case when k % 4 = 0 then floor(p) else p end)::decimal(38, 9)::varchar, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') end as shown from o"""
+
+
 def tree_outline(spark: SparkSession, sf: str) -> DataFrame:
     """A tree as an indented list, in preorder."""
     n = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 3 + 0.5)).alias("parent"), F.col("p_name").alias("label"))

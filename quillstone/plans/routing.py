@@ -223,6 +223,19 @@ r as (select source, doc_id, n_chars, n, n_chars <= 40000 as taken, 40000 - case
 select source, doc_id, n_chars, coalesce(taken, false) as taken from r"""
 
 
+def recognition_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Pictures are read in the order of their citations, by code points, while the budget takes them."""
+    d = table(spark, sf, "documents").select("source", F.concat(F.lit("f#img="), F.col("doc_id").cast("string")).alias("cite"), "n_chars")
+    return C.greedy(d, "source", "cite", "n_chars", 60000)
+
+
+QUERIES["recognition_order"] = recognition_order
+ORACLES["recognition_order"] = """with recursive d as (select source, 'f#img=' || doc_id as cite, n_chars, row_number() over (partition by source order by 'f#img=' || doc_id) as n from documents),
+r as (select source, cite, n_chars, n, n_chars <= 60000 as taken, 60000 - case when n_chars <= 60000 then n_chars else 0 end as room from d where n = 1
+ union all select d.source, d.cite, d.n_chars, d.n, d.n_chars <= r.room, r.room - case when d.n_chars <= r.room then d.n_chars else 0 end from r join d on d.source = r.source and d.n = r.n + 1)
+select source, cite, n_chars, coalesce(taken, false) as taken from r"""
+
+
 def scope_whitelist(spark: SparkSession, sf: str) -> DataFrame:
     """Values of the expected type pass, others are hidden; and if names are unique."""
     e = table(spark, sf, "events").withColumn("v", F.get_json_object("props", "$.k"))
