@@ -107,12 +107,16 @@ def repeated(at: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def script_of(points: np.ndarray) -> str:
-    at = np.searchsorted(_STARTS, points, "right") - 1
-    named = points[(at >= 0) & (points <= _ENDS[np.maximum(at, 0)])]
-    if not len(named):
-        return "other"
-    return NAMES[int(np.bincount(_CODE[np.searchsorted(_STARTS, named, "right") - 1]).argmax())]
+def script_of(text: str, seen: np.ndarray) -> str:
+    """The script of most characters; `seen` counts the text's bytes, so that only characters beyond ASCII are looked up."""
+    counts = np.zeros(len(NAMES), np.int64)
+    counts[NAMES.index("latin")] = seen[65:91].sum() + seen[97:123].sum()
+    if not text.isascii():
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        points = points[points >= 0x80]
+        at = np.searchsorted(_STARTS, points, "right") - 1
+        counts += np.bincount(_CODE[at[(at >= 0) & (points <= _ENDS[np.maximum(at, 0)])]], minlength=len(NAMES))
+    return NAMES[int(counts.argmax())]
 
 
 def figures(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
@@ -123,15 +127,15 @@ def figures(docs: DataFrame, vocabulary: str | None = None, ranks: str | None =
     def row(data: bytes) -> tuple:
         words = data.split()
         raw = np.frombuffer(data, np.uint8)
-        symbols = int(np.bincount(raw, minlength=256)[_SYMBOLS].sum())
+        seen = np.bincount(raw, minlength=256)
+        symbols = int(seen[_SYMBOLS].sum())
         lines = [x for x in data.split(b"\n") if x.strip()]
         plain = b" ".join(words).decode("utf-8", "replace")
-        points = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        chars = len(points) - max(len(words) - 1, 0)
-        numbers: dict[bytes, int] = {}
-        again = repeated(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
+        chars = len(plain) - max(len(words) - 1, 0)
+        last = dict(zip(words, range(len(words)), strict=True))
+        again = repeated(np.fromiter(map(last.__getitem__, words), np.int64, len(words)))
         failed = len(words) < LEAST_WORDS or 100 * again > MOST_REPEATED * len(words)
-        return len(words), chars, symbols, len(lines) - len(set(lines)), again, failed, script_of(points), *fertility(plain, chars, path, other)
+        return len(words), chars, symbols, len(lines) - len(set(lines)), again, failed, script_of(plain, seen), *fertility(plain, chars, path, other)
 
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string()] + [pa.float64()] * 4
 
@@ -145,14 +149,16 @@ def figures(docs: DataFrame, vocabulary: str | None = None, ranks: str | None =
 
 
 def bands(rows: DataFrame, keys: list[str], spread: float = SPREAD, least: int = LEAST_GROUP) -> DataFrame:
-    """(keys, low_* and high_* of each figure, n) of the groups of `least` documents or more that pass the base rule."""
-    own = rows.where("not base_failed").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(f) for f in FIGURES))
+    """(keys, low_* and high_* of each figure, n) of every group: n counts its documents; the ends are null where under `least` pass the base rule."""
+    passing = ~F.col("base_failed")
+    own = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(passing).alias("passing"), *(F.percentile_approx(F.when(passing, F.col(f)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(f) for f in FIGURES))
     ends = []
     for f, (floor, lower, upper) in FIGURES.items():
         low, middle, high = (F.get(f, F.lit(k)) for k in range(3))
-        ends.append((low - spread * F.greatest(middle - low, F.lit(floor)) if lower else F.lit(float("-inf"))).alias(f"low_{f}"))
-        ends.append((high + spread * F.greatest(high - middle, F.lit(floor)) if upper else F.lit(float("inf"))).alias(f"high_{f}"))
-    return own.where(F.col("n") >= least).select(*keys, *ends, "n")
+        enough = F.col("passing") >= least
+        ends.append(F.when(enough, low - spread * F.greatest(middle - low, F.lit(floor)) if lower else F.lit(float("-inf"))).alias(f"low_{f}"))
+        ends.append(F.when(enough, high + spread * F.greatest(high - middle, F.lit(floor)) if upper else F.lit(float("inf"))).alias(f"high_{f}"))
+    return own.select(*keys, *ends, "n")
 
 
 def outside(figure: str) -> Column:

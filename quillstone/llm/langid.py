@@ -221,14 +221,14 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
-def drawn(docs: DataFrame, learn: Column, rows: int = ROWS, segments: int = SEGMENTS, total: int = TOTAL) -> DataFrame:
+def drawn(docs: DataFrame, learn: Column, rows: int = ROWS, segments: int = SEGMENTS, total: int = TOTAL, languages: int | None = None) -> DataFrame:
     """(mark_lang, words): segments of LENGTH words or fewer of `rows` labelled texts of each language, cut before they leave the workers.
 
     Of a text of more than `segments` segments those of the smallest hashes are taken; beyond `total` texts each language
     has fewer, one at least.
     """
-    marked = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & learn).select("doc_id", "lang")
-    languages = marked.select("lang").distinct().count()
+    marked = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & learn).select("doc_id", "lang")
+    languages = marked.select("lang").distinct().count() if languages is None else languages
     order = Window.partitionBy("lang").orderBy("mark", "doc_id")
     few = marked.withColumn("mark", F.xxhash64(F.lit(4), "doc_id")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, min(rows, total // max(languages, 1))))
     few = few.groupBy("doc_id").agg(F.min("lang").alias("mark_lang"))
@@ -241,7 +241,11 @@ def drawn(docs: DataFrame, learn: Column, rows: int = ROWS, segments: int = SEGM
 
 
 def train(docs: DataFrame, learn: Column, rows: int = ROWS) -> Field | None:
-    found = drawn(docs, learn, rows).orderBy("doc_id", "words").select("words", "mark_lang").collect()
+    every = [r.lang for r in docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & learn).select("lang").distinct().collect()]
+    found = drawn(docs, learn, rows, languages=len(every)).orderBy("doc_id", "words").select("words", "mark_lang").collect()
+    # Texts are drawn without a look at them. A language of which none had a letter is drawn again from those that have one.
+    if missing := sorted(set(every) - {r.mark_lang for r in found}):
+        found += drawn(docs.where(F.col("lang").isin(missing) & F.col("text").rlike(r"\p{L}")), learn, rows, languages=len(every)).orderBy("doc_id", "words").select("words", "mark_lang").collect()
     return fit([r.words for r in found], [r.mark_lang for r in found])
 
 

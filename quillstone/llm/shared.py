@@ -74,10 +74,11 @@ def joined(rows: DataFrame, one: DataFrame, keys: list[str], values: list[str],
     hot = one.where(F.col("n") > least).select(*(F.col(k).alias(f"{k}__hot") for k in keys), F.lit(True).alias("is__hot"), *(F.col(v).alias(f"{v}__hot") for v in values))
     cold = one.where(F.col("n") <= least).select(*(F.col(k).alias(f"{k}__cold") for k in keys), *(F.col(v).alias(f"{v}__cold") for v in values))
     near = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"{k}__hot") for k in keys], "left")
-    # A hot row meets nothing: its key is null in the first place, and its number keeps such rows apart.
-    apart = F.when(F.col("is__hot"), F.xxhash64(*(c for c in rows.columns if c not in keys)) % 65536).otherwise(F.lit(0))
-    near = near.withColumn("apart__", apart)
-    both = near.join(cold.withColumn("apart__cold", F.lit(0).cast("long")), [*(F.col(k) == F.col(f"{k}__cold") for k in keys), F.col("apart__") == F.col("apart__cold")], "left")
+    # A hot row meets nothing in the second join; its number keeps such rows in different tasks. The numbers are hashes, as a
+    # constant would be folded away and the rows dealt by their keys again.
+    near = near.withColumn("deal__", F.when(F.col("is__hot"), F.xxhash64(*(c for c in rows.columns if c not in keys))).otherwise(F.xxhash64(*keys)))
+    cold = cold.withColumn("deal__cold", F.xxhash64(*(F.col(f"{k}__cold") for k in keys)))
+    both = near.join(cold, [*(F.col(k) == F.col(f"{k}__cold") for k in keys), F.col("deal__") == F.col("deal__cold")], "left")
     return both.select(*rows.columns, *(F.when(F.col("is__hot"), F.col(f"{v}__hot")).otherwise(F.col(f"{v}__cold")).alias(v) for v in values))
 
 

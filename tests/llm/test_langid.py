@@ -116,3 +116,10 @@ def test_gradient_against_differences():
 def test_ties_and_several_languages_of_an_id(spark):
     rows = [(i, "same words here", lang) for i in range(30) for lang in ("bb", "aa")]
     assert {r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} == {"aa"}
+
+
+def test_a_language_of_few_letters(spark):
+    """Of a language most texts of which have no letter the others are found and learned."""
+    rows = [(i, "12 34", "xx") for i in range(1500)] + [(5000 + i, "zubrowka quizzical", "xx") for i in range(3)] + [(6000 + i, "the house and the garden", "en") for i in range(30)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id >= 5000").collect()
+    assert {r.lang_pred for r in got if r.doc_id < 6000} == {"xx"} and {r.lang_pred for r in got if r.doc_id >= 6000} == {"en"}
