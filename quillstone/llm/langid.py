@@ -233,7 +233,9 @@ def drawn(docs: DataFrame, learn: Column, rows: int = ROWS, segments: int = SEGM
     few = marked.withColumn("mark", F.xxhash64(F.lit(4), "doc_id")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, min(rows, total // max(languages, 1))))
     few = few.groupBy("doc_id").agg(F.min("lang").alias("mark_lang"))
     own = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").where("text is not null")
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"), lambda w: w != "")
+    # The text as of a drawn row: what reads it can't be moved before the join, where it would read all texts.
+    text = F.when(F.col("mark_lang").isNotNull(), F.col("text"))
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}]+"), lambda w: w != "")
     own = own.select("doc_id", "mark_lang", words.alias("w")).where(F.size("w") > 0)
     places = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / LENGTH).cast("int"))
     taken = F.slice(F.array_sort(F.transform(places, lambda k: F.struct(F.xxhash64("doc_id", k).alias("h"), k.alias("k")))), 1, segments)
