@@ -67,6 +67,24 @@ def columnar(k: int, n: str, kind: str) -> bytes:
     return out.getvalue()
 
 
+def paper(k: int, n: str) -> bytes:
+    """Two pages, one with text in two fonts and a note, one without text; a file inside."""
+    import zlib
+
+    shown = f"BT /F1 12 Tf 72 700 Td (Report on ) Tj [({n})] TJ 0 -14 Td (number {k}) Tj /F2 12 Tf 60 0 Td <0001> Tj ET".encode()
+    table = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0001> <00e9> endbfchar"
+    objects = [
+        b"<</Type/Catalog/Pages 2 0 R/Names<</EmbeddedFiles<</Names[(a)<</F(a.txt)/EF<</F 9 0 R>>>>]>>>>>>", b"<</Type/Pages/Kids[3 0 R 4 0 R]/Count 2/Resources<</Font<</F1 7 0 R/F2 8 0 R>>>>>>",
+        b"<</Type/Page/Parent 2 0 R/Contents 5 0 R/Annots[6 0 R]>>", b"<</Type/Page/Parent 2 0 R/Contents 11 0 R>>", packed(zlib.compress(shown), b"/Filter/FlateDecode"), f"<</Subtype/Text/T(Ann)/Contents(see {k})>>".encode(),
+        b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>", b"<</Type/Font/Subtype/Type0/ToUnicode 10 0 R>>", packed(n.encode()), packed(table), packed(b"q Q"), f"<</Title({n})>>".encode(),
+    ]
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"trailer <</Root 1 0 R/Info 12 0 R>>\n%%EOF"
+
+
+def packed(body: bytes, head: bytes = b"") -> bytes:
+    return b"<</Length %d%s>>\nstream\n%s\nendstream" % (len(body), head, body)
+
+
 WORD = '<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>{n}</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>number {k}</w:t></w:r></w:p></w:body></w:document>'
 SLIDE = '<sld xmlns:a="a"><a:p><a:t>{n} {i}</a:t></a:p></sld>'
 BOOK = '<w xmlns="x" xmlns:r="r"><sheets><sheet name="S" r:id="i1"/><sheet name="H" state="hidden" r:id="i2"/></sheets></w>'
@@ -109,7 +127,8 @@ FORMATS: dict[str, tuple[str, str, Callable[[int, str], bytes], str, str, str, s
     "file_parquet": ("S20 S21 S22", "f.parquet", lambda k, n: columnar(k, n, "parquet"), "table", "'metadata {{}}' || e || 'id: int64' || e || 'name: string' || e || '~' || e || 'summary {{}}' || e || 'column | min | max | nulls' || e || 'id | ' || k || ' | ' || k + 1 || ' | 1' || e || 'name | \"NULL\" | ' || n || ' | 1' || e || '~' || e || 'sample {{}}' || e || 'f.parquet: 3 rows' || e || 'columns| id | name' || e || 'row=1| ' || k || ' | ' || n || e || 'row=2| ' || k + 1 || ' | NULL' || e || 'row=3| NULL | \"NULL\"'", "''", "''"),
     "file_arrow": ("S23 S24 S25 S26", "f.arrow", lambda k, n: columnar(k, n, "arrow"), "table", "'summary {{}}' || e || 'column | type | nulls | min | max | distinct' || e || 'id | int64 | 1 | ' || k || ' | ' || k + 1 || ' | 2' || e || 'name | string | 1 | \"NULL\" | ' || n || ' | 2' || e || '~' || e || 'sample {{}}' || e || 'f.arrow: 3 rows' || e || 'columns| id | name' || e || 'row=1| ' || k || ' | ' || n || e || 'row=2| ' || k + 1 || ' | NULL' || e || 'row=3| NULL | \"NULL\"'", "''", "''"),
     "file_locked": ("P18 S112", "f.docx", lambda k, n: b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + "EncryptedPackage".encode("utf-16-le") + n.encode(), "locked", "''", "'not read (locked by a password)'", "''"),
-    "file_unread": ("S65 S132 G11", "f.pdf", lambda k, n: b"%PDF-1.7 " + n.encode(), "unknown", "''", "'not read (needs a PDF reader)'", "''"),
+    "file_pdf": ("S81 S110 P10 Z23", "f.pdf", lambda k, n: paper(k, n), "pdf", "'metadata {{}}' || e || 'Title: ' || n || e || '~' || e || 'body {{\"page\": 1}}' || e || 'Report on ' || n || e || 'number ' || k || ' é' || e || '~' || e || 'note {{\"page\": 1}}' || e || '[Text by Ann] see ' || k", "'1 page with hardly any text, pictures not read (pages 2)'", "'a.txt ' || length(n)"),
+    "file_unread": ("S65 S132 G11", "f.7z", lambda k, n: b"7z\xbc\xaf" + n.encode(), "unknown", "''", "'not read (needs 7-Zip)'", "''"),
 }
 
 

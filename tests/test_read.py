@@ -32,7 +32,7 @@ def test_text_and_encodings():
     many = parsers.parse("a.md", "\n".join("abc").encode() + b"\n" + b"z\n" * 400)
     assert [b[0]["line"] for b in many.blocks] == [1, 201, 401]
     assert parsers.parse("x.bin", b"\0\1\2").needs == ["unsupported format"]
-    assert parsers.parse("x", b"A" * 9).kind == "text" and parsers.parse("x.pdf", b"%PDF").needs == ["not read (needs a PDF reader)"]
+    assert parsers.parse("x", b"A" * 9).kind == "text" and parsers.parse("x.7z", b"7z\xbc\xaf").needs == ["not read (needs 7-Zip)"]
     assert parsers.parse("c.vcf", b"BEGIN:VCARD\nNOTE:a\n b\nPHOTO;ENCODING=b:" + b"A" * 100).blocks[0][1].splitlines()[1:] == ["2| NOTE:ab", "4| PHOTO;ENCODING=b:<base64 100 chars>"]
 
 
