@@ -8,8 +8,10 @@ bins allow the similarity: the smaller counts of each bin add up to at least wha
 the similarity is left out, whatever their fingerprints. They give stars, not pairs. A
 bucket over BUCKET is dealt into blocks, every two of which meet as a bucket of their own. What the stars connect is a candidate component, a superset of the
 groups in it: its members meet with their shingles, where pairs that pass and are not connected yet are verified. A component
-over PART members or SHINGLES shingles never meets in one task: its members are dealt into blocks, every two blocks meet in
-a task of their own, and what the tasks find is connected again.
+over PART members or SHINGLES shingles never meets in one task. Its members are dealt into blocks, and each is set against
+LEADERS of them, which most members of one large group are similar to: they are connected with one row each. Only what is
+left meets all others, block by block, each two blocks in a task of their own, and what the tasks find is connected again.
+So work grows with the component's size where it is one group, and with the product of it and what is left otherwise.
 
 Nulls: a null text counts as empty; texts without words are one group. A null doc_id sorts before all others. Of rows that
 repeat both doc_id and text one stays. Other columns are kept.
@@ -28,6 +30,7 @@ from .shared import batches, by_arrow, components, cut, stored, texts_of
 KEYS, BINS, BUCKET = 6, 256, 2048
 #: Members and shingles of a candidate component, from which it is dealt into blocks.
 PART, SHINGLES = 4096, 4 << 20
+LEADERS = 4
 _ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, KEYS + 1, dtype=np.uint64) | np.uint64(1)
 
 
@@ -64,10 +67,10 @@ def possible(sizes: np.ndarray, bins: np.ndarray, similarity: float):
     return accept
 
 
-def linked(ends: np.ndarray, accept) -> np.ndarray:
-    """The smallest place that each place reaches over pairs i < j < ends[i] that accept(i, j) lets pass; pairs connected already are left out."""
+def linked(ends: np.ndarray, accept, root: np.ndarray | None = None) -> np.ndarray:
+    """The smallest place that each place reaches over pairs i < j < ends[i] that accept(i, j) lets pass; pairs connected already, as by `root` from the start, are left out."""
     n = len(ends)
-    root, going, d = np.arange(n), np.arange(n), 0
+    root, going, d = np.arange(n) if root is None else root, np.arange(n), 0
     while len(going):
         d += 1
         going = going[going + d < ends[going]]
@@ -147,8 +150,38 @@ def stars(nodes: DataFrame, similarity: float) -> DataFrame:
     return every.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(bucket_stars(similarity), "a long, b long")
 
 
-def verified(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """The smallest place that each member reaches over pairs of the similarity."""
+def alike(a: Column, b: Column, similarity: float) -> Column:
+    """If two sets of shingles have the similarity."""
+    common = F.size(F.array_intersect(a, b))
+    return common >= similarity * (F.size(a) + F.size(b) - common)
+
+
+def led(large: DataFrame, similarity: float) -> DataFrame:
+    """large (part, blocks, node, shingles) with block, its own one, and lead: the first leader's node for members similar to it, or to a leader that is; else null."""
+    order = Window.partitionBy("part").orderBy("node")
+    few = large.withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS)
+    few = few.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("node", "shingles"))).alias("leads"), F.first("blocks").alias("b"))
+    few = few.withColumn("leads", F.filter("leads", lambda x: alike(x["shingles"], F.col("leads")[0]["shingles"], similarity)))
+    spread = few.select("part", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("block"), "leads")
+    own = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    lead = F.when(F.exists("leads", lambda x: alike(x["shingles"], F.col("shingles"), similarity)), F.col("leads")[0]["node"])
+    return own.join(spread, ["part", "block"]).select("part", "blocks", "block", "node", "shingles", lead.alias("lead"))
+
+
+def left_over(told: DataFrame, part: int, shingles: int) -> DataFrame:
+    """(part, i, j, node, shingles, lead): block i of what has no lead with block j of all members, for every i and j of a component."""
+    rest = told.where("lead is null").groupBy("part").agg(F.ceil(F.greatest(F.count(F.lit(1)) / part, F.sum(F.size("shingles")) / shingles)).cast("int").alias("rest"), F.first("blocks").alias("b"))
+    spread = rest.select("part", "rest", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("block"))
+    rows = told.join(spread, ["part", "block"])
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_all = F.transform(every("rest"), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
+    own = F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.col("rest")).cast("int")
+    as_rest = F.when(F.col("lead").isNull(), F.transform(every("blocks"), lambda j: F.struct(own.alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    return rows.select("part", F.explode(F.concat(as_all, as_rest)).alias("p"), "node", "shingles", "lead").select("part", "p.i", "p.j", "node", "shingles", "lead")
+
+
+def verified(sets: list[np.ndarray], similarity: float, led: np.ndarray | None = None) -> np.ndarray:
+    """The smallest place that each member reaches over pairs of the similarity; members that are `led` are connected from the start."""
     passes = possible(np.array([len(s) for s in sets]), np.stack([binned(s) for s in sets]), similarity)
 
     def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -159,7 +192,10 @@ def verified(sets: list[np.ndarray], similarity: float) -> np.ndarray:
             out[n] = common >= similarity * (len(p) + len(q) - common)
         return out
 
-    return linked(np.full(len(sets), len(sets)), accept)
+    root = np.arange(len(sets))
+    if led is not None and led.any():
+        root[led] = np.flatnonzero(led)[0]
+    return linked(np.full(len(sets), len(sets)), accept, root)
 
 
 def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, part: int = PART, shingles: int = SHINGLES) -> DataFrame:
@@ -168,7 +204,7 @@ def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, part: int = PAR
     nodes = marks.groupBy("node").agg(F.first("size").alias("size"), F.first("bins").alias("bins"), F.first("keys").alias("keys"))
     roots = cut(components(stars(nodes, similarity)))
     member = marks.groupBy("node").agg(F.min(F.struct("dk", "tk")).alias("who"), F.first("size").alias("size")).join(roots, "node").select("node", F.col("root").alias("part"), "size", "who.dk", "who.tk")
-    blocks = member.groupBy("part").agg(F.ceil(F.greatest(F.count(F.lit(1)) / part, F.sum("size") / shingles)).cast("int").alias("blocks"))
+    blocks = cut(member.groupBy("part").agg(F.ceil(F.greatest(F.count(F.lit(1)) / part, F.sum("size") / shingles)).cast("int").alias("blocks")))
     member = member.join(blocks, "part").select("node", "part", "blocks", "dk", "tk")
     # A row that repeats doc_id and text is read once.
     wanted = docs.select("dk", "tk", "text").join(member, ["dk", "tk"])
@@ -182,29 +218,34 @@ def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, part: int = PAR
     members = by_arrow(wanted.select("part", "blocks", "node", "text"), shingled, "part long, blocks int, node long, shingles array<long>", 4 << 20)
 
     def run(rows):
-        held: list[tuple[tuple, int, np.ndarray]] = []
+        held: list[tuple[tuple, int, np.ndarray, bool]] = []
 
         def solve(part: list) -> pa.RecordBatch:
             own = {x[1]: x for x in part}
             part = [own[x] for x in sorted(own)]
-            low = verified([x[2].view(np.uint64) for x in part], similarity)
+            low = verified([x[2].view(np.uint64) for x in part], similarity, np.array([x[3] for x in part]))
             return pa.RecordBatch.from_arrays([pa.array([x[1] for x in part], pa.int64()), pa.array([part[r][1] for r in low], pa.int64()), pa.array([part[0][0][1] >= 0] * len(part))], ["a", "b", "dealt"])
 
         for batch in batches(rows, 8 << 20):
             lists = batch.column(4)
             flat, ends = lists.flatten().to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
-            for n, (key, node) in enumerate(zip(keys, batch.column(3).to_pylist(), strict=True)):
+            for n, (key, node, lead) in enumerate(zip(keys, batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 if held and held[0][0] != key:
                     yield solve(held)
                     held = []
-                held.append((key, node, flat[ends[n] : ends[n + 1]].copy()))
+                held.append((key, node, flat[ends[n] : ends[n + 1]].copy(), lead is not None))
         if held:
             yield solve(held)
 
-    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(block_pairs("node", "blocks"))
-    met = members.select("part", F.explode(pairs).alias("p"), "node", "shingles").select("part", "p.i", "p.j", "node", "shingles")
-    solved = stored(met.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node").mapInArrow(run, "a long, b long, dealt boolean").where("a <> b"), "groups")
+    kinds = "a long, b long, dealt boolean"
+    solve = lambda met: met.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node").mapInArrow(run, kinds).where("a <> b")
+    small = members.where("blocks = 1").select("part", F.lit(-1).alias("i"), F.lit(-1).alias("j"), "node", "shingles", F.lit(None).cast("long").alias("lead"))
+    found = solve(small)
+    if blocks.where("blocks > 1").limit(1).count():
+        told = stored(led(members.where("blocks > 1"), similarity), "led")
+        found = found.union(told.where("lead is not null and lead <> node").select(F.col("node").alias("a"), F.col("lead").alias("b"), F.lit(True).alias("dealt"))).union(solve(left_over(told, part, shingles)))
+    solved = stored(found, "groups")
     whole = solved.where("not dealt").select(F.col("a").alias("node"), F.col("b").alias("group"))
     solved = cut(whole.union(components(solved.where("dealt").select("a", "b")).select("node", F.col("root").alias("group"))))
     return marks.select("dk", "tk", "node").join(solved, "node", "left").select("dk", "tk", F.coalesce("group", "node").alias("group"))

@@ -117,3 +117,27 @@ def test_crowded_bucket_of_one_key(spark, monkeypatch):
     base = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
     docs = spark.createDataFrame([(i, " ".join([*base, f"end{i}"])) for i in range(12)], "doc_id long, text string")
     assert [r.doc_id for r in neargroups.thinned(docs).collect()] == [0]
+
+
+def test_large_components_by_leaders(spark, monkeypatch):
+    """A chain whose ends are unlike, and a hub whose members are all like its first one: the latter leaves nothing to meet in blocks."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    walk, chain = [word() for _ in range(200)], []
+    for _ in range(40):
+        chain.append(" ".join(walk))
+        walk = walk[8:] + [word() for _ in range(8)]
+    hub = [word() for _ in range(300)]
+    star = [" ".join([*hub, f"end{i}"]) for i in range(40)]
+    for texts in (chain, star, [t for pair in zip(chain, star, strict=True) for t in pair]):
+        docs = neargroups.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        want = brute(texts)
+        for leaders in (1, 4):
+            monkeypatch.setattr(neargroups, "LEADERS", leaders)
+            first = {}
+            for r in sorted(neargroups.groups(docs, part=3).collect(), key=lambda r: r.dk):
+                first.setdefault(r.group, r.dk)
+                assert first[r.group] == want[r.dk]
+    sets = [(1, 5, i, [int(x) for x in range(100)] + [1000 + i]) for i in range(20)]
+    told = neargroups.led(spark.createDataFrame(sets, "part long, blocks int, node long, shingles array<long>"), 0.8)
+    assert {r.lead for r in told.collect()} == {0} and neargroups.left_over(told, 3, 1000).count() == 0
