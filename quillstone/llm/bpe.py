@@ -24,6 +24,7 @@ import re
 import sys
 import unicodedata
 from functools import lru_cache
+from itertools import chain, pairwise
 from pathlib import Path
 
 import numpy as np
@@ -77,21 +78,18 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
         return (whole,)
     if len(piece) >= LONG:
         return _merge_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    get, none = ranks.get, len(ranks) + 1
-    pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-    while pairs:
-        best = min(pairs)
-        if best == none:
-            break
+    # Bounds of the parts, and the rank of each part with the next one.
+    get, none, n = ranks.get, len(ranks) + 1, len(piece)
+    bounds = list(range(n + 1))
+    pairs = [get(piece[i : i + 2], none) for i in range(n - 1)]
+    while pairs and (best := min(pairs)) != none:
         i = pairs.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
+        del bounds[i + 1], pairs[i]
         if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            pairs[i - 1] = get(piece[bounds[i - 1] : bounds[i + 1]], none)
         if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], none)
-    return tuple(ranks[p] for p in parts)
+            pairs[i] = get(piece[bounds[i] : bounds[i + 2]], none)
+    return tuple([ranks[piece[i:j]] for i, j in pairwise(bounds)])
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -133,18 +131,17 @@ class Coder:
         self.cut = cutter().findall
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        table, add = self.table, ids.extend
-        for piece in self.cut(text):
-            try:
-                add(table[piece])
-            except KeyError:
-                found = merge(piece.encode(), self.ranks)
-                if len(piece) < LONG:
-                    if len(table) >= KEPT:
-                        table.clear()
-                    table[piece] = found
-                add(found)
+        pieces, table = self.cut(text), self.table
+        fresh = set(pieces).difference(table)
+        if len(table) + len(fresh) > KEPT:
+            table.clear()
+            fresh = set(pieces)
+        for piece in fresh:
+            table[piece] = merge(piece.encode(), self.ranks)
+        ids = list(chain.from_iterable(map(table.__getitem__, pieces)))
+        for piece in fresh:
+            if len(piece) >= LONG:  # not kept, as their sizes have no bound
+                del table[piece]
         return ids
 
     def decode(self, ids) -> bytes:
