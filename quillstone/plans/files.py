@@ -8,7 +8,6 @@ import json
 import plistlib
 import sqlite3
 import tarfile
-import tempfile
 import zipfile
 from collections.abc import Callable
 
@@ -44,14 +43,13 @@ def tarred(name: str, body: bytes) -> bytes:
 
 
 def stored_table(k: int, n: str) -> bytes:
-    with tempfile.NamedTemporaryFile(suffix=".db") as f:
-        con = sqlite3.connect(f.name)
-        con.execute("create table users(id integer primary key, name text, avatar blob)")
-        con.executemany("insert into users values (?, ?, ?)", [(i, n if i == 1 else None, b"xy") for i in range(1, 23)])
-        con.commit()
-        con.close()
-        f.seek(0)
-        return f.read()
+    con = sqlite3.connect(":memory:")
+    con.execute("create table users(id integer primary key, name text, avatar blob)")
+    con.executemany("insert into users values (?, ?, ?)", [(i, n if i == 1 else None, b"xy") for i in range(1, 23)])
+    con.commit()
+    body = con.serialize()
+    con.close()
+    return body
 
 
 def columnar(k: int, n: str, kind: str) -> bytes:

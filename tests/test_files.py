@@ -37,3 +37,18 @@ def test_folded_characters(spark):
     text = "".join(chr(c) for c in range(32, 0x10000) if not 0xD800 <= c < 0xE000)
     want = "".join(n if len(n := unicodedata.normalize("NFKC", c)) == 1 else c for c in text)
     assert spark.createDataFrame([(text,)], "t string").select(consensus.folded(F.col("t"))).first()[0] == want
+
+
+def test_a_database_with_a_write_ahead_log(tmp_path):
+    import sqlite3
+
+    con = sqlite3.connect(tmp_path / "w.db")
+    con.execute("pragma journal_mode = wal")
+    con.execute("create table t(a text)")
+    con.execute("insert into t values ('x')")
+    con.commit()
+    con.execute("pragma wal_checkpoint(truncate)")
+    con.close()
+    data = (tmp_path / "w.db").read_bytes()
+    assert "rowid=1| x" in parsers.parse("w.db", data).blocks[1][1]
+    assert parsers.parse("w.db", data[:30] + bytes(200)).error and parsers.parse("w.db", data[:16]).error
