@@ -1,12 +1,13 @@
-"""Groups of near-duplicate texts: candidates by smallest shingles, verified by the similarity of their word shingles.
+"""Groups of near-duplicate texts: candidates by SimHash and smallest shingles, verified by the similarity of their word shingles.
 
 Two texts link if the Jaccard similarity of their sets of k-word shingles is `similarity` or more; a group is what links
-reach. Texts of equal shingle sets count once. At a similarity of 0.8 blocks of equal bits of
-fingerprints no longer find them; the buckets are the smallest shingles under KEYS hashes instead, of which two such
-texts share one with probability 1 - 0.2**KEYS. Inside a bucket those pairs pass whose sizes and counts of shingles by BINS
+reach. Texts of equal shingle sets count once. The bit-sliced comparison of `simhash` gives as candidates all whose
+fingerprints, here of the set of shingles, differ in two bits or fewer. At a similarity of 0.8 fingerprints differ in some ten
+bits, where blocks of equal bits no longer find them; so there are buckets of the smallest shingles under KEYS hashes
+besides, of which two such texts share one with probability 1 - 0.2**KEYS. Inside a bucket those pairs pass whose sizes and counts of shingles by BINS
 bins allow the similarity: the smaller counts of each bin add up to at least what two sets have in common, so that no pair of
 the similarity is left out, whatever their fingerprints. They give stars, not pairs. A
-bucket over BUCKET is dealt into blocks, every two of which meet as a bucket of their own. What the stars connect is a candidate component, a superset of the
+bucket over BUCKET is dealt into blocks, every two of which meet as a bucket of their own. What stars and fingerprints connect is a candidate component, a superset of the
 groups in it: its members meet with their shingles, where pairs that pass and are not connected yet are verified. A component
 over PART members or SHINGLES shingles never meets in one task. Its members are dealt into blocks, and each is set against
 LEADERS of them, which most members of one large group are similar to: they are connected with one row each. Only what is
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .shared import batches, by_arrow, components, cut, stored, texts_of
+from .shared import batches, by_arrow, components, cut, joined, stored, texts_of
 
 KEYS, BINS, BUCKET = 6, 256, 2048
 #: Members and shingles of a candidate component, from which it is dealt into blocks.
@@ -83,21 +84,22 @@ def linked(ends: np.ndarray, accept, root: np.ndarray | None = None) -> np.ndarr
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(dk, tk, node, size, bins, keys): node is a hash of the set of shingles, size their number."""
+    """(dk, tk, node, size, bins, keys, print): node is a hash of the set of shingles, size their number, print its fingerprint."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, sizes, keys, bins = [], [], [], []
+        nodes, sizes, keys, bins, prints = [], [], [], [], []
         for text in texts_of(batch.column(2)):
             own = np.unique(simhash.shingle_hashes(text, k))
             sizes.append(len(own))
             mixed = own ^ (own >> np.uint64(31))
             nodes.append(int((mixed * _ODD[0] ^ (mixed * _ODD[1] >> np.uint64(32))).sum(dtype=np.uint64)) if len(own) else 0)
             bins.append(binned(own).tobytes())
+            prints.append(simhash.fingerprint(own))
             keys.append((smallest(own) >> np.uint64(1)).astype(np.int64).tolist())
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(nodes), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["dk", "tk", "node", "size", "bins", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(nodes), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary()), pa.array(keys, pa.list_(pa.int64())), signed(prints)], ["dk", "tk", "node", "size", "bins", "keys", "print"])
 
-    return by_arrow(docs.select("dk", "tk", "text"), work, "dk long, tk long, node long, size long, bins binary, keys array<long>", 4 << 20)
+    return by_arrow(docs.select("dk", "tk", "text"), work, "dk long, tk long, node long, size long, bins binary, keys array<long>, print long", 4 << 20)
 
 
 def bucket_stars(similarity: float):
@@ -150,6 +152,13 @@ def stars(nodes: DataFrame, similarity: float) -> DataFrame:
     return every.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(bucket_stars(similarity), "a long, b long")
 
 
+def print_stars(nodes: DataFrame, total: int) -> DataFrame:
+    """Edges (a, b) that join nodes (node, print), at most `total`, of equal prints or of prints that link."""
+    prints = cut(nodes.groupBy("print").agg(F.min("node").alias("near"), F.count(F.lit(1)).alias("n")))
+    equal = joined(nodes, prints, ["print"], ["near"], total).where("node <> near").select(F.col("node").alias("a"), F.col("near").alias("b"))
+    return equal.union(simhash.print_links(prints.select(F.col("near").alias("node"), "print")))
+
+
 def alike(a: Column, b: Column, similarity: float) -> Column:
     """If two sets of shingles have the similarity."""
     common = F.size(F.array_intersect(a, b))
@@ -202,7 +211,8 @@ def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, part: int = PAR
     """(dk, tk, group) of each row of docs (dk, tk, text)."""
     marks = stored(signatures(docs, k), "signatures")
     nodes = marks.groupBy("node").agg(F.first("size").alias("size"), F.first("bins").alias("bins"), F.first("keys").alias("keys"))
-    roots = cut(components(stars(nodes, similarity)))
+    prints = marks.groupBy("node").agg(F.first("print").alias("print"))
+    roots = cut(components(stars(nodes, similarity).union(print_stars(prints, marks.count()))))
     member = marks.groupBy("node").agg(F.min(F.struct("dk", "tk")).alias("who"), F.first("size").alias("size")).join(roots, "node").select("node", F.col("root").alias("part"), "size", "who.dk", "who.tk")
     blocks = cut(member.groupBy("part").agg(F.ceil(F.greatest(F.count(F.lit(1)) / part, F.sum("size") / shingles)).cast("int").alias("blocks")))
     member = member.join(blocks, "part").select("node", "part", "blocks", "dk", "tk")

@@ -3,26 +3,31 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import tiktoken
 from quillstone.llm import bpe, neargroups, simhash, shared
 
 
 def brute(texts, k=5, least=0.8):
     sets = [set(simhash.shingle_hashes((t or "").encode(), k).tolist()) for t in texts]
-    root = list(range(len(sets)))
+    return connected(len(sets), lambda i, j: not (either := len(sets[i] | sets[j])) or len(sets[i] & sets[j]) >= least * either)
+
+
+def connected(n, link):
+    """The smallest place that each reaches over pairs that link."""
+    root = list(range(n))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(len(sets)):
+    for i in range(n):
         for j in range(i):
-            either = len(sets[i] | sets[j])
-            if not either or len(sets[i] & sets[j]) >= least * either:
+            if link(i, j):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    return [find(i) for i in range(len(sets))]
+    return [find(i) for i in range(n)]
 
 
 def near_corpus(seed):
@@ -109,6 +114,29 @@ def test_groups_of_repeated_lines(spark):
     assert sorted(r.doc_id for r in neargroups.thinned(docs).collect()) == sorted(set(want))
 
 
+def test_candidates_of_fingerprints(spark, monkeypatch):
+    """Without the smallest shingles, what fingerprints connect is verified; with handmade ones, every link is there."""
+    rnd = random.Random(12)
+    base = [rnd.getrandbits(64) for _ in range(12)]
+    prints = [b ^ sum(1 << k for k in rnd.sample(range(64), n)) for b in base for n in (0, 0, 1, 2, 3, 5)]
+    rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
+    edges = neargroups.print_stars(spark.createDataFrame(rows, "node long, print long"), len(rows))
+    root = {r.node: r.root for r in shared.components(edges).collect()}
+    assert [root.get(i, i) for i in range(len(prints))] == connected(len(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    texts = [None, "", "a b c", "a b d"]
+    for n in (0, 700, 1400):
+        texts += [" ".join([*words[n : n + 600], *(["changed"] * k), *words[n + 600 :]]) for k in range(4)]
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in texts]
+    marks = [simhash.fingerprint(np.array(sorted(x), np.uint64)) for x in sets]
+    part = connected(len(texts), lambda i, j: (marks[i] ^ marks[j]).bit_count() <= 2)
+    want = connected(len(texts), lambda i, j: part[i] == part[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert len(set(want)) < len(texts) - 4
+    monkeypatch.setattr(neargroups, "stars", lambda nodes, similarity: nodes.sparkSession.createDataFrame([], "a long, b long"))
+    got = neargroups.thinned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want))
+
+
 def test_crowded_bucket_of_one_key(spark, monkeypatch):
     """Texts that share only the key of a crowded bucket are compared."""
     monkeypatch.setattr(neargroups, "KEYS", 1)
