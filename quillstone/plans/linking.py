@@ -3,11 +3,12 @@ projections beside them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import render as R
 from ..operators import files as O
+from ..operators import linking as L
 from .tables import table
 
 QUERIES = {}
@@ -17,11 +18,8 @@ ORACLES = {}
 def job_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Jobs of an item and what came of each, matched by item and number; what has none is unread."""
     c = table(spark, sf, "conversations")
-    jobs = c.select("conv_id", "turn")
-    outcomes = c.where("turn % 3 <> 0").select("conv_id", "turn", (F.lit(1) + (F.col("role") == "user").cast("int")).alias("engines"))
-    own = jobs.join(outcomes, ["conv_id", "turn"], "left").groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("jobs"), F.count("engines").alias("read"), F.count_if(F.col("engines") == 1).alias("unchecked"), F.count_if(F.col("engines").isNull()).alias("unread"),
-    )
+    done = c.where("turn % 3 <> 0").select("conv_id", "turn", (F.lit(1) + (F.col("role") == "user").cast("int")).alias("engines"))
+    own = L.outcomes(c, done, "conv_id", "turn")
     return own.withColumn("needs", F.when(F.col("unread") > 0, R.not_read("unread", "picture", "shallow")))
 
 
@@ -34,8 +32,8 @@ select *, case when unread > 0 then format('{:,}', unread) || ' picture' || case
 def relationship_targets(spark: SparkSession, sf: str) -> DataFrame:
     """A part's relationship to its target; external targets have none."""
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
-    targets = region.select(F.col("r_regionkey").alias("n_regionkey"), F.when(F.col("r_name") != "ASIA", F.concat(F.lit("part/"), F.lower("r_name"))).alias("target"))
-    return nation.join(targets, "n_regionkey", "left").select("n_nationkey", "n_name", "target")
+    relations = region.select(F.col("r_regionkey").alias("n_regionkey"), F.concat(F.lit("part/"), F.lower("r_name")).alias("target"), (F.col("r_name") == "ASIA").alias("external"))
+    return L.targets(nation, relations, "n_regionkey").select("n_nationkey", "n_name", "target")
 
 
 QUERIES["relationship_targets"] = relationship_targets
@@ -44,9 +42,8 @@ ORACLES["relationship_targets"] = "select n_nationkey, n_name, case when r_name
 
 def item_details(spark: SparkSession, sf: str) -> DataFrame:
     """The detail rows of each item with the item, in their order; the details' side is gathered before it is joined."""
-    d, o = table(spark, sf, "customer"), table(spark, sf, "orders")
-    own = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string")), ",").alias("keys"))
-    return d.join(own, d["c_custkey"] == own["o_custkey"], "left").select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("n_details"), "keys")
+    d, o = table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return L.details(d, o, "c_custkey", "o_orderkey").select("c_custkey", "n_details", F.array_join(F.transform("details", lambda k: k.cast("string")), ",").alias("keys"))
 
 
 QUERIES["item_details"] = item_details
@@ -56,8 +53,8 @@ select c_custkey, coalesce(n, 0)::bigint as n_details, keys from customer left j
 
 def first_block_links(spark: SparkSession, sf: str) -> DataFrame:
     """Each picture linked to the first block of the same source (here the first turn of its speaker)."""
-    c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", F.min("turn").over(Window.partitionBy("conv_id", "role")).alias("block"))
+    c = table(spark, sf, "conversations").select("conv_id", "role", "turn")
+    return L.first_blocks(c, c, ["conv_id", "role"], "turn").select("conv_id", "turn", "block")
 
 
 QUERIES["first_block_links"] = first_block_links
@@ -67,7 +64,7 @@ ORACLES["first_block_links"] = "select conv_id, turn, min(turn) over (partition
 def reader_priority(spark: SparkSession, sf: str) -> DataFrame:
     """Readers in the order in which they are asked: local ones first, then as named."""
     r = table(spark, sf, "region").withColumn("remote", (F.col("r_regionkey") % 2 == 0).cast("int"))
-    return r.select("r_name", F.row_number().over(Window.orderBy("remote", "r_regionkey")).cast("long").alias("place"))
+    return L.asked(r, "remote", "r_regionkey").select("r_name", "place")
 
 
 QUERIES["reader_priority"] = reader_priority
@@ -76,8 +73,7 @@ ORACLES["reader_priority"] = "select r_name, row_number() over (order by (r_regi
 
 def reading_order(spark: SparkSession, sf: str) -> DataFrame:
     """Shapes of a page from top to bottom and left to right (here parts by size and price)."""
-    p = table(spark, sf, "part")
-    return p.select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_retailprice", "p_partkey")).cast("long").alias("place"))
+    return L.shape_order(table(spark, sf, "part"), "p_brand", "p_size", "p_retailprice", "p_partkey").select("p_partkey", "place")
 
 
 QUERIES["reading_order"] = reading_order
@@ -86,10 +82,9 @@ ORACLES["reading_order"] = "select p_partkey, row_number() over (partition by p_
 
 def comment_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose first field begins with the comment mark are left out, and counted."""
-    lines = F.split("text", "\n")
-    d = table(spark, sf, "documents").where("text is not null")
-    kept = F.filter(lines, lambda x: ~x.startswith("Un") & (x != ""))
-    return d.select("doc_id", F.size(kept).cast("long").alias("rows"), F.size(F.filter(lines, lambda x: x.startswith("Un"))).cast("long").alias("comments"))
+    told = L.without_comments(F.filter(F.split("text", "\n"), lambda x: x != ""), "Un")
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", told.alias("told"))
+    return d.select("doc_id", F.size("told.kept").cast("long").alias("rows"), "told.comments")
 
 
 QUERIES["comment_rows"] = comment_rows
@@ -99,9 +94,8 @@ select doc_id, len(list_filter(a, lambda x: not starts_with(x, 'Un') and x <> ''
 
 def readable_texts(spark: SparkSession, sf: str) -> DataFrame:
     """A text is readable if at most one character in a hundred is a control or a replacement."""
-    p = table(spark, sf, "pages")
-    odd = F.length(F.regexp_replace("html", "[^\\x00-\\x08\\x0e-\\x1f\\x7f�]", "")).cast("long")
-    return p.select("page_id", odd.alias("odd"), (odd * 100 <= F.length("html")).alias("readable"))
+    html = F.col("html")
+    return table(spark, sf, "pages").select("page_id", L.odd_characters(html).alias("odd"), L.readable(html).alias("readable"))
 
 
 QUERIES["readable_texts"] = readable_texts
@@ -110,22 +104,20 @@ select page_id, odd, odd * 100 <= length(html) as readable from p"""
 
 
 def values_of_readers(spark: SparkSession, sf: str) -> DataFrame:
-    """The distinct values that any reader saw, in order (here three readers of each conversation)."""
-    c = table(spark, sf, "conversations")
-    parts = [c.where(f"turn % 3 = {k}").select("conv_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]+"), F.lit(0))).alias("value")) for k in range(3)]
-    return parts[0].union(parts[1]).union(parts[2]).distinct().groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("value")), " ").alias("found"), F.count(F.lit(1)).alias("n"))
+    """The distinct values that any reader saw, in order (here the long words of each conversation, a turn for a reader)."""
+    own = L.values_seen(table(spark, sf, "conversations"), "conv_id", "text", "[A-Za-z]{6,}")
+    return own.select("conv_id", F.array_join("found", " ").alias("found"), "n")
 
 
 QUERIES["values_of_readers"] = values_of_readers
-ORACLES["values_of_readers"] = """with v as (select distinct conv_id, unnest(regexp_extract_all(text, '[0-9]+')) as value from conversations)
+ORACLES["values_of_readers"] = """with v as (select distinct conv_id, unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) as value from conversations)
 select conv_id, string_agg(value, ' ' order by value) as found, count(*) as n from v group by conv_id"""
 
 
 def physical_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The physical line on which a row begins, where fields before it hold line ends (here texts cut at full stops)."""
-    c = table(spark, sf, "conversations").withColumn("breaks", F.regexp_count("text", F.lit(r"[.]")))
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return c.select("conv_id", "turn", (F.lit(2) + F.coalesce(F.sum(F.col("breaks") + 1).over(before), F.lit(0))).cast("long").alias("line"))
+    c = table(spark, sf, "conversations")
+    return L.row_lines(c, "conv_id", "turn", F.regexp_count("text", F.lit(r"[.]"))).select("conv_id", "turn", "line")
 
 
 QUERIES["physical_lines"] = physical_lines
@@ -150,7 +142,7 @@ ORACLES["data_uris"] = """select doc_id, case when doc_id % 4 <> 0 then octet_le
 def scaled_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes read on a scaled picture, back in its own units, one decimal, half to even."""
     p = table(spark, sf, "part")
-    box = F.transform(F.array(F.col("p_size"), F.col("p_size") + 7, F.col("p_size") * 3, F.col("p_size") * 5), lambda v: F.bround(v / 4.0, 1))
+    box = L.scaled_box(F.array(F.col("p_size"), F.col("p_size") + 7, F.col("p_size") * 3, F.col("p_size") * 5), 4)
     return p.select("p_partkey", box[0].alias("x0"), box[1].alias("y0"), box[2].alias("x1"), box[3].alias("y1"))
 
 
@@ -161,30 +153,26 @@ ORACLES["scaled_boxes"] = "select p_partkey, round_even(p_size / 4.0::double, 1)
 def reader_identity(spark: SparkSession, sf: str) -> DataFrame:
     """A digest of all that decides a reading, by which it is looked up again."""
     s = table(spark, sf, "supplier")
-    return s.select("s_suppkey", F.sha2(F.concat_ws("\n", "s_name", F.col("s_nationkey").cast("string"), F.lit("v1")).cast("binary"), 256).alias("identity"))
+    return s.select("s_suppkey", L.identity(F.col("s_name"), F.col("s_nationkey"), F.lit("v1")).alias("identity"))
 
 
 QUERIES["reader_identity"] = reader_identity
 ORACLES["reader_identity"] = "select s_suppkey, sha256(concat_ws(chr(10), s_name, s_nationkey::varchar, 'v1')) as identity from supplier"
 
-#: Fixed values: a language and its three-letter code.
-LANGUAGES = {"en": "eng", "de": "deu", "fr": "fra", "es": "spa", "ko": "kor", "ja": "jpn", "zh": "chi_sim"}
-
 
 def language_codes(spark: SparkSession, sf: str) -> DataFrame:
     """the reader's code of each text's language; others keep their own."""
-    codes = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
-    return table(spark, sf, "documents").select("doc_id", F.coalesce(F.try_element_at(codes, F.col("lang")), "lang").alias("code"))
+    return table(spark, sf, "documents").select("doc_id", L.reader_language(F.col("lang")).alias("code"))
 
 
 QUERIES["language_codes"] = language_codes
-ORACLES["language_codes"] = "select doc_id, case lang " + " ".join(f"when '{a}' then '{b}'" for a, b in LANGUAGES.items()) + " else lang end as code from documents"
+ORACLES["language_codes"] = "select doc_id, case lang " + " ".join(f"when '{a}' then '{b}'" for a, b in L.LANGUAGES.items()) + " else lang end as code from documents"
 
 
 def sticky_notes(spark: SparkSession, sf: str) -> DataFrame:
     """Notes as blocks: their kind, author and text; empty ones are left out."""
-    c = table(spark, sf, "conversations").where("trim(text) <> ''")
-    return c.select("conv_id", "turn", F.concat(F.lit("[Note by "), F.coalesce("role", F.lit("unknown")), F.lit("] "), F.trim("text")).alias("text"))
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", L.sticky_note("Note", F.col("role"), F.col("text")).alias("text")).where("text is not null")
 
 
 QUERIES["sticky_notes"] = sticky_notes
@@ -194,7 +182,7 @@ ORACLES["sticky_notes"] = "select conv_id, turn, '[Note by ' || coalesce(role, '
 def worthy_pictures(spark: SparkSession, sf: str) -> DataFrame:
     """Pictures whose smaller side and drawn area are large enough to hold text (here parts as pictures)."""
     p = table(spark, sf, "part").withColumns({"w": F.col("p_size") * 4, "h": F.floor(F.col("p_retailprice") / 20).cast("int")})
-    return p.where((F.least("w", "h") >= 48) & (F.col("w") * F.col("h") >= 2500)).select("p_partkey", "w", "h")
+    return p.where(L.worth_reading(F.col("w"), F.col("h"))).select("p_partkey", "w", "h")
 
 
 QUERIES["worthy_pictures"] = worthy_pictures
@@ -202,15 +190,11 @@ ORACLES["worthy_pictures"] = "with p as (select p_partkey, p_size * 4 as w, floo
 
 
 def sidecar_subtitles(spark: SparkSession, sf: str) -> DataFrame:
-    """S127 J10 Z35: a recording reads the first subtitle file of its folder and stem that has cues; others are listened to.
-
-    The subtitles' side is reduced to a row a stem before the join, so that no stem multiplies.
-    """
+    """S127 J10 Z35: a recording reads the first subtitle file of its folder and stem that has cues; others are listened to."""
     d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("folder"), F.concat(F.lit("clip"), F.col("doc_id").cast("string")).alias("stem"))
     files = d.select("folder", "stem", "doc_id", F.explode(F.array(F.lit("b.vtt"), F.lit("a.srt"))).alias("end")).where("doc_id % 3 <> 1 and not (end = 'a.srt' and doc_id % 3 = 2)")
-    cues = files.withColumn("cues", F.col("doc_id") % 5).where("cues > 0")
-    first = cues.groupBy("folder", "stem").agg(F.min(F.concat("stem", F.lit("."), "end")).alias("file"))
-    return d.join(first, ["folder", "stem"], "left").select("doc_id", "file", F.when(F.col("file").isNull(), "listen").otherwise("subtitles").alias("job"))
+    named = files.select("folder", "stem", F.concat("stem", F.lit("."), "end").alias("name"), (F.col("doc_id") % 5).alias("cues"))
+    return L.recording_jobs(d, named, ["folder", "stem"], "name", "cues").select("doc_id", "file", "job")
 
 
 QUERIES["sidecar_subtitles"] = sidecar_subtitles
@@ -222,8 +206,7 @@ def resource_kinds(spark: SparkSession, sf: str) -> DataFrame:
     """A resource's kind: its stated format, else the suffix of its first path."""
     p = table(spark, sf, "pages")
     stated = F.when(F.col("page_id") % 3 == 0, F.lit("CSV"))
-    path = F.regexp_replace("url", r"[?#].*$", "")
-    return p.select("page_id", F.lower(F.coalesce(stated, F.nullif(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1), F.lit("")), F.lit("unknown"))).alias("kind"))
+    return p.select("page_id", L.resource_kind(stated, F.col("url")).alias("kind"))
 
 
 QUERIES["resource_kinds"] = resource_kinds
@@ -232,8 +215,7 @@ ORACLES["resource_kinds"] = r"""select page_id, lower(coalesce(case when page_id
 
 def column_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Each column of a table as name (type)."""
-    rows = [(n, f"{f.name} ({f.dataType.simpleString()})") for n, f in enumerate(table(spark, sf, "customer").schema.fields)]
-    return spark.createDataFrame(rows, "pos int, label string")
+    return spark.createDataFrame(list(enumerate(L.labels(table(spark, sf, "customer")))), "pos int, label string")
 
 
 QUERIES["column_labels"] = column_labels
@@ -242,7 +224,7 @@ ORACLES["column_labels"] = "select (cid)::int as pos, name || ' (' || case type
 
 def squeezed_texts(spark: SparkSession, sf: str) -> DataFrame:
     """runs of blanks as one, none at the ends."""
-    return table(spark, sf, "documents").select("doc_id", F.md5(F.trim(F.regexp_replace("text", r"[ \t\r\n\f\u000b]+", " ")).cast("binary")).alias("digest"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(L.squeezed(F.col("text")).cast("binary")).alias("digest"))
 
 
 QUERIES["squeezed_texts"] = squeezed_texts
