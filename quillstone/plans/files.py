@@ -97,7 +97,7 @@ FORMATS: dict[str, tuple[str, str, Callable[[int, str], bytes], str, str, str, s
     "file_tsv": ("S28 O04", "f.tsv", lambda k, n: ("id\tname\n" + f"{k}\t{n}\n" * 25).encode(), "table", "'sample {{}}' || e || 'f.tsv: first 20 of 25 rows' || e || 'columns| id | name' || (select string_agg(e || 'row=' || i || '| ' || k || ' | ' || n, '' order by i) from range(1, 21) t(i))", "'5 rows not read (sample)'", "''"),
     "file_jsonl": ("S30 A19 A20 U02", "f.jsonl", lambda k, n: f'{{"id": {k}, "x": "{n}"}}\n[1]\n\n{{"y": true}}\n'.encode(), "table", "'sample {{}}' || e || 'f.jsonl: 2 rows' || e || 'columns| id | x | y' || e || 'row=1| ' || k || ' | ' || n || ' | NULL' || e || 'row=2| NULL | NULL | true'", "'1 line not read (not an object, first at line 2)'", "''"),
     "file_json": ("S31 S32", "f.json", lambda k, n: json.dumps([["x", "y"], [k, n], [None, "NULL"]]).encode(), "table", "'sample {{}}' || e || 'f.json: 2 rows' || e || 'columns| x | y' || e || 'row=1| ' || k || ' | ' || n || e || 'row=2| NULL | \"NULL\"'", "''", "''"),
-    "file_package": ("S35 S36 S39 P14", "datapackage.json", lambda k, n: json.dumps({"name": n, "resources": [{"name": "r", "data": [{"a": k}]}, {"name": "s", "path": "../x.csv"}, {"path": "t.csv"}]}).encode(), "package", "'metadata {{}}' || e || '{{\"name\": \"' || n || '\"}}' || e || '~' || e || 'sample {{\"sheet\": \"r\"}}' || e || 'r: 1 row' || e || 'columns| a' || e || 'row=1| ' || k", "'s: ../x.csv not read (outside the package); resource-3: t.csv not read (a file of its own)'", "''"),
+    "file_package": ("S35 S36 S39 P14 F18", "datapackage.json", lambda k, n: json.dumps({"name": n, "resources": [{"name": "r", "data": [{"a": k}]}, {"name": "s", "path": "../x.csv"}, {"path": "t.csv"}]}).encode(), "package", "'metadata {{}}' || e || 'name: ' || n || e || 'resources: 3' || e || '- r: inline data' || e || '- s: path=../x.csv' || e || '- resource3: path=t.csv' || e || '~' || e || 'sample {{\"sheet\": \"r\"}}' || e || 'r: 1 row' || e || 'columns| a' || e || 'row=1| ' || k", "'s: ../x.csv not read (outside the package); resource3: t.csv not read (a file of its own)'", "''"),
     "file_vcard": ("S63 S64 F30", "f.vcf", lambda k, n: f"BEGIN:VCARD\nNOTE:{n}\n  more\nPHOTO;ENCODING=b:{'A' * 100}".encode(), "text", "'body {{\"line\": 1}}' || e || '1| BEGIN:VCARD' || e || '2| NOTE:' || n || ' more' || e || '4| PHOTO;ENCODING=b:<base64 100 chars>'", "''", "''"),
     "file_notebook": ("S51 F15", "f.ipynb", lambda k, n: json.dumps({"cells": [{"source": ["a = 1\n", n], "outputs": [{"data": {"text/plain": str(k), "image/png": "eA=="}}]}, {"source": "\x1b[31mred"}]}).encode(), "notebook", "'body {{\"cell\": \"1\"}}' || e || 'a = 1' || e || n || e || '[output] ' || k || e || '~' || e || 'body {{\"cell\": \"2\"}}' || e || 'red'", "''", "'cell1-1.png 1'"),
     "file_mail": ("S71", "f.eml", lambda k, n: MAIL.format(k=k, n=n).encode(), "mail", "'metadata {{}}' || e || 'From: a@b.c' || e || 'Subject: ' || n || e || '~' || e || 'body {{}}' || e || 'body ' || k", "''", "''"),

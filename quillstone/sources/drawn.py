@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 import struct
 import xml.etree.ElementTree as ET
 import zipfile
 
-from .parsers import Parsed, cell, checked, local, tree
+from .parsers import Parsed, cell, checked, letter, local, tree
 
 #: First bytes (at a place) of media containers: (place, bytes, kind).
 MAGIC = [
@@ -155,17 +156,57 @@ def outline(root: ET.Element) -> list[str]:
     return out
 
 
+def related(z: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """The parts that the relationships of a part lead to, by id; external ones are left out, as are parts that aren't there."""
+    folder, _, own = part.rpartition("/")
+    names = set(z.namelist())
+    if (listed := f"{folder}/_rels/{own}.rels") not in names:
+        return {}
+    every = {r.get("Id"): posixpath.normpath(posixpath.join("/", folder, r.get("Target") or "")).lstrip("/") for r in tree(checked(z, listed)) if r.get("TargetMode") != "External"}
+    return {k: v for k, v in every.items() if v in names}
+
+
+def relation(e: ET.Element) -> str | None:
+    return next((v for k, v in e.attrib.items() if k.endswith("}id")), None)
+
+
+def anchored(z: zipfile.ZipFile) -> tuple[dict[str, dict], list[tuple[dict, str]]]:
+    """Of a workbook's visible sheets, the sheet and anchor cell of each chart part, and of each shape with its text."""
+    charts: dict[str, dict] = {}
+    shapes: list[tuple[dict, str]] = []
+    if "xl/workbook.xml" not in z.namelist():
+        return charts, shapes
+    sheets = related(z, "xl/workbook.xml")
+    for s in (e for e in tree(checked(z, "xl/workbook.xml")).iter() if local(e) == "sheet" and e.get("state", "visible") == "visible"):
+        for drawing in (p for p in related(z, sheets.get(relation(s), "")).values() if re.search(r"drawings/[^/]+\.xml$", p)):
+            links = related(z, drawing)
+            for a in tree(checked(z, drawing)):
+                at = {local(e): int(e.text or 0) for start in a if local(start) == "from" for e in start if local(e) in ("col", "row")}
+                place = {"sheet": s.get("name")} | ({"anchor": f"{letter(at['col'] + 1)}{at['row'] + 1}"} if len(at) == 2 else {})
+                for e in a.iter():
+                    if local(e) == "chart" and (part := links.get(relation(e))):
+                        charts.setdefault(part, place)
+                    elif local(e) == "sp":
+                        lines = ["".join(t.text or "" for t in p.iter() if local(t) == "t").strip() for p in e.iter() if local(p) == "p"]
+                        if text := "\n".join(x for x in lines if x):
+                            shapes.append((place, text))
+    return charts, shapes
+
+
 def drawings(z: zipfile.ZipFile, out: Parsed) -> Parsed:
-    """Charts and diagrams of a package as blocks, its pictures as members."""
+    """Charts and diagrams of a package as blocks, its pictures as members."""
     names = z.namelist()
+    places, shapes = anchored(z)
     number = lambda n: (re.sub(r"\d+", "", n), int((re.findall(r"\d+", n) or ["0"])[-1]))
     for n, part in enumerate(sorted((x for x in names if re.fullmatch(r"(word|ppt|xl)/charts/chart\d+\.xml", x)), key=number), 1):
         columns, rows = chart_table(tree(checked(z, part)))
         if rows:
-            out.add("\n".join([f"chart {n}", "columns| " + " | ".join(map(cell, columns)), *(" | ".join("" if v is None else cell(v) for v in r) for r in rows)]), "sample", anchor=f"chart{n}")
+            out.add("\n".join([f"chart {n}", "columns| " + " | ".join(map(cell, columns)), *(" | ".join("" if v is None else cell(v) for v in r) for r in rows)]), "sample", **(places.get(part) or {"anchor": f"chart{n}"}))
     for n, part in enumerate(sorted((x for x in names if re.fullmatch(r"(word|ppt|xl)/diagrams/data\d+\.xml", x)), key=number), 1):
         if lines := outline(tree(checked(z, part))):
             out.add("\n".join(lines), anchor=f"diagram{n}")
+    for place, text in shapes:
+        out.add(text, **place)
     left = 256 << 20
     seen = set()
     for part in sorted((x for x in names if re.fullmatch(r"(word|ppt|xl)/media/[^/]+|Pictures/[^/]+|BinData/[^/]+", x)), key=number):

@@ -119,6 +119,13 @@ def test_packages():
     assert got.blocks == [({"sheet": "S"}, "| row | A | B | C |\n|---|---|---|---|\n| 1 | head |  | 2 |", "body")] and got.needs == ["hidden sheet H not read"]
     ods = '<d xmlns:t="t"><t:table t:name="N"><t:table-row><t:table-cell t:number-columns-repeated="2"><t:p>v</t:p></t:table-cell></t:table-row></t:table></d>'
     assert "| 1 | v | v |" in parsers.parse("b.ods", zipped(**{"content.xml": ods})).blocks[0][1]
+    chart = '<d xmlns:c="c" xmlns:t="t"><c:chart><c:title><t:p>Sales</t:p></c:title><c:axis><c:title><t:p>Year</t:p></c:title></c:axis>{}</c:chart></d>'
+    row = lambda *cells: "<t:table-row>" + "".join(f"<t:table-cell><t:p>{c}</t:p></t:table-cell>" for c in cells) + "</t:table-row>"
+    held = chart.format("<t:table><t:table-header-rows>" + row("", "a", "b") + "</t:table-header-rows>" + row("2001", 1, 2) + row("2002", 3) + "</t:table>")
+    slides = '<d xmlns:d="d" xmlns:x="x"><d:page/><d:page><d:object x:href="./Object%201"/><d:object x:href="./Object%201"/><d:object x:href="./Object%202"/><d:object x:href="../x"/></d:page></d>'
+    got = parsers.parse("p.odp", zipped(**{"content.xml": slides, "Object 1/content.xml": held, "Object 2/content.xml": chart.format("<t:table>" + row("", "a") + "</t:table>")}))
+    assert got.blocks == [({"slide": 2, "anchor": "chart1"}, "chart 1: Sales\naxes: Year\ncolumns| category | a | b\n2001 | 1 | 2\n2002 | 3 | ", "sample")]
+    assert got.needs == ["embedded object Object 2 not read", "embedded object ../x not read"] and not got.error
     hw = '<h xmlns:p="p"><p:p><p:t>가</p:t></p:p></h>'
     assert parsers.parse("d.hwpx", zipped(**{"Contents/section0.xml": hw})).blocks == [({"section": 1}, "1| 가", "body")]
     book = zipped(**{"mimetype": "application/epub+zip", "META-INF/container.xml": '<c><rootfile full-path="O/c.opf"/></c>', "O/c.opf": '<p><item id="a" href="a.x"/><item id="b" href="b.x"/><itemref idref="b"/><itemref idref="a"/></p>', "O/a.x": "<p>A", "O/b.x": "<p>B"})
@@ -129,6 +136,25 @@ def test_packages():
     assert parsers.parse("x.svg", b'<!DOCTYPE a [<!ENTITY b "c">]><svg/>').error.startswith("ValueError")
 
 
+def test_drawings_of_sheets():
+    book = '<w xmlns="x" xmlns:r="r"><sheets><sheet name="S" r:id="i1"/><sheet name="H" state="hidden" r:id="i2"/></sheets></w>'
+    drawn = '<d xmlns:a="a" xmlns:r="r"><a:twoCellAnchor><a:from><a:col>27</a:col><a:row>4</a:row></a:from><a:g><a:chart r:id="c1"/></a:g></a:twoCellAnchor><a:absoluteAnchor><a:sp><a:p><a:t>no</a:t><a:t>te</a:t></a:p><a:p/></a:sp></a:absoluteAnchor></d>'
+    chart = "<c><ser><tx><v>n</v></tx><cat><pt idx='0'><v>q</v></pt></cat><val><pt idx='0'><v>{}</v></pt></val></ser></c>"
+    link = lambda *targets: "<r>" + "".join(f'<x Id="{k}" Target="{t}"/>' for k, t in targets) + "</r>"
+    parts = {"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": link(("i1", "worksheets/sheet1.xml"), ("i2", "/xl/worksheets/sheet2.xml")), "xl/drawings/drawing1.xml": drawn, "xl/drawings/_rels/drawing1.xml.rels": link(("c1", "../charts/chart2.xml"))}
+    parts |= {f"xl/worksheets/sheet{n}.xml": "<s/>" for n in (1, 2)} | {"xl/worksheets/_rels/sheet1.xml.rels": link(("d", "../drawings/drawing1.xml"), ("gone", "../drawings/drawing9.xml"))} | {f"xl/charts/chart{n}.xml": chart.format(n) for n in (1, 2)}
+    got = parsers.parse("b.xlsx", zipped(**parts))
+    assert not got.error and got.blocks == [({"anchor": "chart1"}, "chart 1\ncolumns| category | n\nq | 1", "sample"), ({"sheet": "S", "anchor": "AB5"}, "chart 2\ncolumns| category | n\nq | 2", "sample"), ({"sheet": "S"}, "note", "body")]
+
+
+def test_described():
+    spec = {"x": 1, "run": {"a": "é", "error": None, "complete": False}, "title": "t\nu", "resources": ["bad", {"name": "n", "data": [], "format": "csv"}, {"path": "p" * 3000}]}
+    lines = parsers.described(spec).split("\n")
+    assert lines[:4] == ["title: t u", "x: 1", 'run: {"complete": false, "error": null, "a": "é"}', "resources: 3"]
+    assert lines[4:6] == ["- resource1: bad", "- n: inline data, format=csv"] and lines[6] == "- resource3: path=" + "p" * 2000 + "..."
+    assert parsers.parse("datapackage.json", json.dumps(spec).encode()).needs[0] == "resource1 not read (not an object)"
+
+
 def test_archives():
     got = parsers.parse("a.zip", zipped(**{"../x.txt": "hi", "b/c.txt": "yo", "bomb.txt": "0" * (4 << 20)}))
     assert [n for n, _ in got.children] == ["../x.txt".replace("../", ""), "b/c.txt"] and got.needs == ["1 member not read (expands too much: bomb.txt)"]
