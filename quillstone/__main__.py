@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         rows = capabilities()
         print(json.dumps(rows, indent=2) if args.json else output.table(rows))
         return output.OK if all(r["found"] for r in rows if r["for"] == "the engine") else output.FAILED
-    missing = [p for p in args.paths if not os.path.exists(p)]
+    missing = [p for p in args.paths if "://" not in p and not os.path.exists(p)]
     if missing:
         print(f"not found: {', '.join(missing)}", file=sys.stderr)
         return output.MISSING
@@ -57,7 +57,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
         spark = SparkSession.builder.appName("quillstone").config("spark.ui.showConsoleProgress", "false").getOrCreate()
         spark.sparkContext.setLogLevel("ERROR")
-    run = read(spark, *args.paths, options=Options(suffixes=tuple(s.lower() for s in args.suffix), content=args.content, shallow=args.shallow, depth=args.depth))
+    try:
+        run = read(spark, *args.paths, options=Options(suffixes=tuple(s.lower() for s in args.suffix), content=args.content, shallow=args.shallow, depth=args.depth))
+    except FileNotFoundError as e:
+        print(f"not found: {e}", file=sys.stderr)
+        return output.MISSING
     try:
         if args.out:
             with exclusive(args.out):

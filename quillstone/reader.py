@@ -1,17 +1,18 @@
 """read(): files to items, cited blocks, coverage; and the sinks of a run.
 
-Listing is the driver's; bytes are parsed in Python workers, a file a row; members of containers are parsed in turn, three
+Local paths are listed on the driver; URIs in workers, a folder a row, level by level, so that no list of files is held. Bytes are parsed in Python workers, a file a row; members of containers are parsed in turn, three
 levels deep at most. Citations, coverage and everything relational are Column expressions over what the parsers give.
 """
 
 from __future__ import annotations
 
+import contextlib
 import fcntl
 import json
 import os
+import urllib.parse
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -81,20 +82,25 @@ def common_root(paths: list[str]) -> str:
     return os.path.commonpath(folders) if folders else ""
 
 
+def claims_of(folder: str, data: bytes) -> set[str]:
+    """Files inside the folder of a descriptor that it names; none where it isn't one."""
+    out: set[str] = set()
+    with contextlib.suppress(ValueError, AttributeError, TypeError):
+        for r in json.loads(data.decode("utf-8-sig")).get("resources", []):
+            for q in [r["path"]] if isinstance(r.get("path"), str) else r.get("path") or []:
+                inner = os.path.normpath(q)
+                if not os.path.isabs(inner) and inner.split(os.sep)[0] not in ("", ".", ".."):
+                    out.add(f"{folder}/{inner}")
+    return out
+
+
 def claimed(paths: list[str], named: set[str]) -> list[str]:
     """Files that a data package claims are left to it, unless they were named."""
     gone: set[str] = set()
     for p in paths:
         if os.path.basename(p) == "datapackage.json":
-            try:
-                spec = json.loads(Path(p).read_text("utf-8-sig"))
-                for r in spec.get("resources", []):
-                    for q in [r["path"]] if isinstance(r.get("path"), str) else r.get("path") or []:
-                        full = os.path.normpath(os.path.join(os.path.dirname(p), q))
-                        if full.startswith(os.path.dirname(p) + os.sep):
-                            gone.add(full)
-            except (ValueError, AttributeError, OSError):
-                continue
+            with contextlib.suppress(OSError):
+                gone |= claims_of(os.path.dirname(p), Path(p).read_bytes())
     return [p for p in paths if p not in gone or p in named]
 
 
@@ -121,8 +127,67 @@ def parsed(items: DataFrame, registry: Registry | None = None) -> DataFrame:
     return items.select("path", "parts", "content").mapInPandas(run, PARSED)
 
 
+def located(uri: str):
+    """A file system, the name in it, and what goes before such names in a URI."""
+    from pyarrow import fs
+
+    uri = uri.rstrip("/")
+    disk, name = fs.FileSystem.from_uri(uri)
+    return disk, name, urllib.parse.unquote(uri).removesuffix(name)
+
+
+def listed(spark: SparkSession, uris: list[str], suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """(path) of the files under URIs, as URIs. Hidden names and, unless they were named, what a data package claims are left out; a missing URI raises."""
+    from pyarrow import fs
+
+    for uri in uris:
+        disk, name, _ = located(uri)
+        if disk.get_file_info(name).type == fs.FileType.NotFound:
+            raise FileNotFoundError(uri)
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in frames:
+            for uri in pdf["path"]:
+                disk, name, before = located(uri)
+                own = disk.get_file_info(name)
+                if own.type == fs.FileType.File:
+                    yield pd.DataFrame([{"path": uri, "folder": False}])
+                    continue
+                found = [f for f in disk.get_file_info(fs.FileSelector(name)) if not f.base_name.startswith(".")]
+                rows = [{"path": before + urllib.parse.quote(f.path), "folder": f.type == fs.FileType.Directory} for f in found if f.type == fs.FileType.Directory or not suffixes or f.base_name.lower().endswith(suffixes)]
+                yield pd.DataFrame(rows, columns=["path", "folder"])
+
+    def claims(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                own = claims_of(urllib.parse.unquote(path).rpartition("/")[0], bytes(content or b""))
+                yield pd.DataFrame({"plain": sorted(own)}, columns=["plain"])
+
+    named = spark.createDataFrame([(u.rstrip("/"),) for u in dict.fromkeys(uris)], "path string")
+    folders, files = named, None
+    while True:
+        level = folders.repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInPandas(look, "path string, folder boolean").persist()
+        files = level.where("not folder") if files is None else files.unionByName(level.where("not folder"))
+        folders = level.where("folder").select("path")
+        if not folders.limit(1).count():
+            break
+    files = files.select("path").distinct()
+    gone = contents(files.where("path like '%/datapackage.json'")).select("path", "content").mapInPandas(claims, "plain string").distinct()
+    plain = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    left = files.withColumn("plain", plain).join(gone, "plain", "left_anti").select("path")
+    return left.unionByName(files.join(named, "path", "left_semi")).distinct()
+
+
 def opened(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(path, parts, content) of files, opened in the workers: Spark's own file source leaves out empty files and names
+    """(path, parts, content) of local files."""
+    rows = spark.createDataFrame([(os.path.abspath(f),) for f in files], "path string")
+    return contents(rows.repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))))
+
+
+def contents(files: DataFrame) -> DataFrame:
+    """(path, parts, content) of files (path), opened in the workers: Spark's own file source leaves out empty files and names
     that begin with an underscore, which are inputs here."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,9 +199,7 @@ def opened(spark: SparkSession, files: list[str]) -> DataFrame:
                 with disk.open_input_stream(name, compression=None) as f:
                     yield pd.DataFrame([{"path": path, "parts": [], "content": f.read()}])
 
-    rows = spark.createDataFrame([(os.path.abspath(f),) for f in files], "path string")
-    tasks = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
-    return rows.repartition(tasks).mapInPandas(run, "path string, parts array<string>, content binary")
+    return files.select("path").mapInPandas(run, "path string, parts array<string>, content binary")
 
 
 @dataclass
@@ -189,6 +252,11 @@ class Run:
             os.fsync(f.fileno())
         os.replace(temporary, path)
 
+    def write_tables(self, folder: str) -> None:
+        """Items, blocks and coverage as Parquet under a path or URI, each written by the workers; for runs whose rows don't fit on one machine."""
+        for name, rows in (("items", self.items), ("blocks", self.blocks), ("coverage", self.coverage())):
+            rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+
     def documents(self) -> DataFrame:
         """A document for each citation, for connectors; metadata blocks are left out."""
         body = self.blocks.where("role <> 'metadata'").groupBy("cite").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "pos", "text"))), lambda b: b["text"]), "\n\n").alias("content"))
@@ -200,11 +268,14 @@ class Run:
 
 
 def read(spark: SparkSession, *paths: str, options: Options | None = None) -> Run:
-    """Files and folders to a Run."""
+    """Files and folders, local ones or URIs, to a Run."""
     o = options or Options()
-    named = {str(Path(p)) for p in paths if os.path.isfile(p)}
-    files = claimed(list_files(list(paths), o.suffixes), named)
-    level = opened(spark, files)
+    far = [p for p in paths if "://" in p]
+    near = [p for p in paths if "://" not in p]
+    named = {str(Path(p)) for p in near if os.path.isfile(p)}
+    level = opened(spark, claimed(list_files(near, o.suffixes), named))
+    if far:
+        level = level.unionByName(contents(listed(spark, far, o.suffixes)))
     every, held = None, []
     for depth in range(o.depth + 1):
         own = parsed(level, o.registry).persist()
@@ -222,7 +293,7 @@ def read(spark: SparkSession, *paths: str, options: Options | None = None) -> Ru
     return Run(items.drop("blocks"), blocks, held)
 
 
-@contextmanager
+@contextlib.contextmanager
 def exclusive(folder: str):
     """One run at a time writes to a folder."""
     os.makedirs(folder, exist_ok=True)

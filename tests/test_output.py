@@ -96,3 +96,9 @@ def test_read_pictures(spark):
     run = read(spark, __file__, options=Options(suffixes=(".py",)))
     assert run.items.count() == 1
     run.close()
+
+
+def test_missing_uri(spark, tmp_path, capsys):
+    assert main(["read", f"file://{tmp_path}/gone"], spark) == output.MISSING
+    (tmp_path / "a.txt").write_text("one")
+    assert main(["read", f"file://{tmp_path}", "--json"], spark) == output.OK and "a.txt" in capsys.readouterr().out

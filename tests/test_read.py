@@ -264,3 +264,31 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select count(*) from d").first()[0] == src.count()
+
+
+def test_read_of_uris(spark, tmp_path):
+    from quillstone.reader import listed, read
+
+    folder = tmp_path / "a b+c"
+    (folder / "deep" / "er").mkdir(parents=True)
+    (folder / ".hidden").mkdir()
+    (folder / ".hidden" / "x.txt").write_text("no")
+    (folder / "one.txt").write_text("one")
+    (folder / "_two.txt").write_text("")
+    (folder / "deep" / "er" / "three 50%.csv").write_text("a\n1\n")
+    (folder / "claimed x.txt").write_text("claimed")
+    (folder / "datapackage.json").write_text(json.dumps({"resources": [{"path": "claimed x.txt"}, {"path": "../out.txt"}, {"path": ["deep/none.txt"]}]}))
+    root = "file://" + str(folder).replace(" ", "%20")
+    names = lambda rows: sorted(r.path.removeprefix("file://" + str(tmp_path)) for r in rows.collect())
+    every = ["/a%20b%2Bc/_two.txt", "/a%20b%2Bc/datapackage.json", "/a%20b%2Bc/deep/er/three%2050%25.csv", "/a%20b%2Bc/one.txt"]
+    assert names(listed(spark, [root + "/"])) == every
+    assert names(listed(spark, [root], (".csv",))) == every[2:3]
+    assert len(names(listed(spark, [root, root + "/claimed%20x.txt"]))) == 5
+    with pytest.raises(FileNotFoundError):
+        listed(spark, [root + "/gone"])
+    run = read(spark, root, str(folder / "one.txt"))
+    got = {r.cite.rpartition("/")[2]: (r.kind, r.status) for r in run.coverage().collect()}
+    assert got["three%2050%25.csv"][0] == "table" and "_two.txt" in got and run.items.count() == 5
+    run.write_tables(f"file://{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out/blocks").count() == run.blocks.count() and spark.read.parquet(f"{tmp_path}/out/coverage").count() == 5
+    run.close()
