@@ -138,9 +138,14 @@ def test_candidates_of_fingerprints(spark, monkeypatch):
 
 
 def test_crowded_bucket_of_one_key(spark, monkeypatch):
-    """Texts that share only the key of a crowded bucket are compared."""
-    monkeypatch.setattr(neargroups, "KEYS", 1)
+    """Texts that share only the key of a crowded bucket are compared; of handmade rows, so that no other way connects them."""
     monkeypatch.setattr(neargroups, "BUCKET", 3)
+    bins = lambda at: bytes(100 * (k == at) for k in range(neargroups.BINS))
+    rows = [(i, 100, bytearray(bins(i // 12)), [99, *(1000 * i + k for k in range(5))]) for i in range(24)]
+    nodes = spark.createDataFrame([*rows, (24, 100, bytearray(bins(0)), list(range(6)))], "node long, size long, bins binary, keys array<long>")
+    root = {r.node: r.root for r in shared.components(neargroups.stars(nodes, 0.8)).collect()}
+    assert root == {i: 12 * (i // 12) for i in range(24)}
+    monkeypatch.setattr(neargroups, "print_stars", lambda nodes, total: nodes.sparkSession.createDataFrame([], "a long, b long"))
     rnd = random.Random(6)
     base = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
     docs = spark.createDataFrame([(i, " ".join([*base, f"end{i}"])) for i in range(12)], "doc_id long, text string")
