@@ -10,8 +10,9 @@ on VALIDATION labelled rows of either class that the model isn't fitted to (trai
 1): in the middle of the widest gap of the best accuracy at the estimated prior. Rounds and rate were chosen on such rows too.
 
 Training uses at most POSITIVES and UNLABELLED rows, and VALIDATION of either label, taken by the smallest hashes of their
-ids; features are computed in the workers, so that the driver holds rows of fixed width, however long the texts. Scoring
-reads every row once, in slices of bounded size.
+ids; features are computed in the workers, so that the driver holds rows of fixed width, however long the texts. It keeps
+them once, in half precision as they were sent, and widens SLICE rows at a time. Scoring reads every row once, in slices of
+bounded size.
 
 Nulls and empty texts get the score of a text without features. Rows with a null doc_id are scored and never learned
 from. Of a doc_id with several labels the largest counts. Rows repeated come out as often as they came in, equal texts
@@ -22,9 +23,11 @@ from __future__ import annotations
 
 import operator
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ from .shared import by_arrow, texts_of
 #: The most training rows, and validation rows of either label.
 POSITIVES, UNLABELLED, VALIDATION = 3000, 6000, 1500
 GRAMS = 1 << 11
+#: Rows of features in full precision at once.
+SLICE = 512
 THRESHOLD = 0.7
 _CLASS = np.zeros((256, 8))
 for _b in range(256):
@@ -93,16 +98,16 @@ def risk(p: np.ndarray, u: np.ndarray, prior: float, w: np.ndarray, b: float) ->
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 20, size: int = 512, rate: float = 0.03, decay: float = 1e-5, seed: int = 5) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
     """Weights, bias, means and scales of the model of least non-negative risk (logistic loss)."""
     mean, scale = both_of(positive, unlabelled)
-    xp, xu = (positive - mean) / scale, (unlabelled - mean) / scale
     rng = np.random.default_rng(seed)
-    w, b = np.zeros(xp.shape[1]), float(np.log(prior / (1 - prior)))
+    w, b = np.zeros(positive.shape[1]), float(np.log(prior / (1 - prior)))
     m, v, t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
     total, count = np.zeros(len(w) + 1), 0
-    steps = max(1, len(xu) // size)
+    steps = max(1, len(unlabelled) // size)
     for turn in range(rounds):
-        order, chosen = rng.permutation(len(xu)), rng.permutation(max(len(xp), 1))
+        order, chosen = rng.permutation(len(unlabelled)), rng.permutation(max(len(positive), 1))
         for k in range(steps):
-            _, _, gradient = risk(xp[chosen[np.arange(k * size, (k + 1) * size) % len(xp)]], xu[order[k::steps]], prior, w, b)
+            xp, xu = positive[chosen[np.arange(k * size, (k + 1) * size) % len(positive)]], unlabelled[order[k::steps]]
+            _, _, gradient = risk((xp - mean) / scale, (xu - mean) / scale, prior, w, b)
             gradient[:-1] += decay * w * len(w)
             t += 1
             m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
@@ -113,17 +118,22 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     return (total / count)[:-1], float((total / count)[-1]), mean, scale
 
 
+def slices(x: np.ndarray) -> Iterator[np.ndarray]:
+    for at in range(0, len(x), SLICE):
+        yield x[at : at + SLICE]
+
+
 def both_of(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Means and scales over the rows of all parts, which are not put together."""
+    """Means and scales over the rows of all parts, which are neither put together nor widened as a whole."""
     n = sum(map(len, parts))
     mean = sum(p.sum(0, dtype=np.float64) for p in parts) / n
-    square = sum(((p - mean) ** 2).sum(0, dtype=np.float64) for p in parts) / n
+    square = sum(((x - mean) ** 2).sum(0, dtype=np.float64) for p in parts for x in slices(p)) / n
     return mean.astype(np.float32), (np.sqrt(square) + 1e-2).astype(np.float32)
 
 
 def logits(model: tuple, x: np.ndarray) -> np.ndarray:
     w, b, mean, scale = model
-    return ((x - mean) / scale) @ w + b
+    return np.concatenate([((part - mean) / scale) @ w + b for part in slices(x)]) if len(x) else np.zeros(0)
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
@@ -166,6 +176,21 @@ def smallest(rows: DataFrame, most: int, salt: int) -> DataFrame:
     return rows.select("doc_id").distinct().withColumn("mark", F.xxhash64(F.lit(salt), "doc_id")).orderBy("mark", "doc_id").limit(most).select("doc_id")
 
 
+def gathered(rows: DataFrame, names: list[str]) -> list[np.ndarray]:
+    """Features of each part of `rows` (doc_id, parts, row), by id; what Arrow held of them is given back."""
+    found = rows.toArrow()
+    order = pc.sort_indices(found, sort_keys=[("doc_id", "ascending"), ("row", "ascending")]).to_pylist()
+    of, column, out = [set(p.split(",")) for p in found.column("parts").to_pylist()], found.column("row"), []
+    for name in names:
+        own = [n for n in order if name in of[n]]
+        out.append(np.empty((len(own), STATS + GRAMS), np.float16))
+        for at, n in enumerate(own):
+            out[-1][at] = np.frombuffer(column[n].as_buffer(), np.float16)
+    del found, column
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED, validation: int = VALIDATION):
     """The model, or None where no row can be learned from. labels: (doc_id, quality)."""
     known = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("q")).where("id is not null and q is not null").groupBy("id").agg(F.max("q").alias("q"))
@@ -188,13 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = PO
         rows = [features(x).astype(np.float16).tobytes() for x in texts_of(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["doc_id", "parts", "row"])
 
-    found = by_arrow(chosen, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, parts string, row binary", 4 << 20).toArrow()
-    if not found.num_rows:
-        return None
-    found = found.sort_by([("doc_id", "ascending"), ("row", "ascending")])
-    whole = np.stack([np.frombuffer(r.as_buffer(), np.float16) for r in found.column("row")])
-    of = [set(p.split(",")) for p in found.column("parts").to_pylist()]
-    xp, xu, good, bad = (whole[np.array([name in p for p in of])].astype(np.float32) for name in sets)
+    drawn = by_arrow(chosen, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, parts string, row binary", 4 << 20)
+    xp, xu, good, bad = gathered(drawn, list(sets))
     if not len(xp) or not len(xu):
         xp = good if not len(xp) else xp  # a table so small that all its positives are held back
         if not len(xp) or not len(xu):
