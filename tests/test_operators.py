@@ -138,3 +138,19 @@ def test_profile_beyond_its_guard(spark):
     assert {r.column_name: r.distinct for r in profile.profile(df).collect()} == {"id": 100, "k": 3}
     assert {r.column_name: (r.high, r.distinct) for r in profile.profile(df, most=1000).collect()} == {"id": ("99", None), "k": ("2", None)}
     assert {r.column_name: r.distinct for r in profile.profile(df.limit(0)).collect()} == {"id": 0, "k": 0}
+
+
+def test_tree_has_no_limit_of_rows(spark):
+    """More nodes than a recursive query may have; parents are terms in id, as in tree_outline; what has no root is left out."""
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")
+    try:
+        ids = spark.range(1, 121).select("id", F.when(F.col("id") > 1, F.floor(F.col("id") / 3 + 0.5)).alias("parent"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("label"))
+        lost = spark.createDataFrame([(500, 501, "x"), (501, 500, "y"), (502, 999, "z")], "id long, parent long, label string")
+        got = {r.id: (r.depth, r.line, r.path) for r in ordered.tree_order(ids.unionAll(lost)).collect()}
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+    want = {1: [1]}
+    for n in range(2, 121):
+        want[n] = [*want[int(n / 3 + 0.5)], n]
+    assert got == {n: (len(p) - 1, "  " * (len(p) - 1) + f"- n{n}", p) for n, p in want.items()}
