@@ -140,7 +140,9 @@ def cell_number(value, kind) -> Column:
     v, k = _col(value), _col(kind)
     when = F.timestamp_seconds(v + 978307200)
     digits = F.regexp_replace(F.regexp_replace(v.cast("decimal(38,9)").cast("string"), r"(\\.\\d*?)0+$", "$1"), r"\\.$", "")
-    return F.when(k == 5, F.when(v % 86400 == 0, F.date_format(when, "yyyy-MM-dd")).otherwise(F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss"))).when(k == 6, F.when(v != 0, "TRUE").otherwise("FALSE")).otherwise(digits)
+    # A year of five digits or more is written with a plus sign by date_format.
+    shown = F.ltrim(F.when(v % 86400 == 0, F.date_format(when, "yyyy-MM-dd")).otherwise(F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss")), F.lit("+"))
+    return F.when(k == 5, shown).when(k == 6, F.when(v != 0, "TRUE").otherwise("FALSE")).otherwise(digits)
 
 
 def half_day_hour(hour, half) -> Column:

@@ -154,3 +154,12 @@ def test_tree_has_no_limit_of_rows(spark):
     for n in range(2, 121):
         want[n] = [*want[int(n / 3 + 0.5)], n]
     assert got == {n: (len(p) - 1, "  " * (len(p) - 1) + f"- n{n}", p) for n, p in want.items()}
+
+
+def test_numbers_of_late_years(spark):
+    from quillstone.functions import render
+
+    days = {0: "2001-01-01", 2921573: "9999-12-31", 2921574: "10000-01-01", 9000000: "26642-03-02"}
+    df = spark.createDataFrame([(d,) for d in days], "d long")
+    assert {r.d: r.day for r in df.select("d", render.cell_number(F.col("d") * 86400.0, F.lit(5)).alias("day")).collect()} == days
+    assert df.where("d = 2921574").select(render.cell_number(F.col("d") * 86400.0 + 3661, F.lit(5)).alias("t")).first().t == "10000-01-01T01:01:01"
