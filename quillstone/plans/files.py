@@ -131,14 +131,18 @@ FORMATS: dict[str, tuple[str, str, Callable[[int, str], bytes], str, str, str, s
 
 
 def made(spark: SparkSession, sf: str, name: str, build: Callable[[int, str], bytes]) -> DataFrame:
-    """(s_suppkey, name, content): a file of each supplier."""
+    """(s_suppkey, name, content): a file of each supplier.
+
+    Suppliers are few bytes, so that a read of all of them is one task; rows are dealt out before files are made of them.
+    """
 
     def run(batches):
         for batch in batches:
             content = [build(k, n) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(content)), pa.array(content, pa.binary())], ["s_suppkey", "name", "content"])
 
-    return table(spark, sf, "supplier").select("s_suppkey", "s_name").mapInArrow(run, "s_suppkey long, name string, content binary")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return table(spark, sf, "supplier").select("s_suppkey", "s_name").repartition(tasks).mapInArrow(run, "s_suppkey long, name string, content binary")
 
 
 def query(title: str) -> Callable[[SparkSession, str], DataFrame]:

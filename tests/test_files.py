@@ -52,3 +52,12 @@ def test_a_database_with_a_write_ahead_log(tmp_path):
     data = (tmp_path / "w.db").read_bytes()
     assert "rowid=1| x" in parsers.parse("w.db", data).blocks[1][1]
     assert parsers.parse("w.db", data[:30] + bytes(200)).error and parsers.parse("w.db", data[:16]).error
+
+
+def test_files_are_made_in_every_task(spark):
+    """A table of few bytes is read by one task; making files of its rows isn't left to that one."""
+    from quillstone.plans.files import FORMATS, made
+
+    rows = made(spark, "/root/testdata/sf0.001", "f.zip", FORMATS["file_csv"][2]).withColumn("task", F.spark_partition_id())
+    counts = [r["count"] for r in rows.groupBy("task").count().collect()]
+    assert len(counts) >= 4 and max(counts) <= 2 * sum(counts) / len(counts)
