@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 NUMBERS = r"\d+(?:[.,]\d+)*"
 TOKENS = r"(?U)\w+(?:[.,]\w+)*"
@@ -30,30 +35,93 @@ def values(text: Column, pattern: str = NUMBERS) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(pattern), F.lit(0))
 
 
-def verdicts(readings: DataFrame, keys: list[str], readers: DataFrame, pattern: str = NUMBERS) -> DataFrame:
-    """(keys, value, counts, agreed, box) of readings (keys, engine, box_no, text, bbox).
+def verdicts(readings: DataFrame, keys: list[str], readers: DataFrame, pattern: str = NUMBERS, boxes: bool = True) -> DataFrame:
+    """(keys, value, counts, agreed, bbox) of readings (keys, engine, box_no, text, bbox).
 
     readers (keys, engine, kind, ord) names every reader of an item, also those that read nothing. A value is agreed if
     two readers or more read it, all equally often, and one of an item's readers is local. Readings that have a column
-    `values` (array) aren't searched again. Readings are brought together by item, once and before values are rows of their
-    own; values are counted there before readers are joined, and the readers of an item ride in one array, so that the grid
-    of values and readers is never a product of relations.
+    `values` (array) aren't searched again. Readings and readers of an item meet in one shuffle, before values are rows of
+    their own, and stream in order; what is kept is the values of the item at hand. Without `boxes` bbox is null.
     """
+    kinds = dict(readings.dtypes)
     found = readings if "values" in readings.columns else readings.withColumn("values", values(F.col("text"), pattern))
-    found = found.select(*keys, "engine", "box_no", "bbox", "values").where(F.col("engine").isNotNull() & (F.size("values") > 0)).repartition(*keys)
-    each = found.select(*keys, "engine", "box_no", "bbox", F.explode("values").alias("value"))
-    counted = each.groupBy(*keys, "value", "engine").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("bbox").isNotNull(), F.struct("box_no", "bbox"))).alias("spot"))
-    named = readers.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "engine", "kind"))).alias("readers"))
-    named = named.withColumns({"engines": F.transform("readers", lambda r: r["engine"]), "all": F.size("readers"), "local": F.exists("readers", lambda r: r["kind"] == "local")}).withColumn("unlike", F.size(F.array_distinct("engines")))
-    told = counted.join(named, keys).withColumn("at", F.array_position("engines", F.col("engine")).cast("int")).where("at > 0")
-    first = F.when(F.col("spot").isNotNull(), F.struct(F.col("readers")[F.col("at") - 1]["ord"].alias("ord"), F.col("spot.box_no").alias("box_no"), F.col("spot.bbox").alias("bbox")))
-    by = told.groupBy(*keys, "value").agg(
-        F.map_from_entries(F.collect_list(F.struct("engine", "n"))).alias("m"), F.max("readers").alias("readers"), F.min(first).alias("first"),
-        F.count(F.lit(1)).alias("seen"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("all").alias("all"), F.max("unlike").alias("unlike"), F.max("local").alias("local"),
-    )
-    counts = F.transform("readers", lambda r: F.struct(r["engine"].alias("engine"), F.coalesce(F.try_element_at("m", r["engine"]), F.lit(0)).alias("n")))
-    agreed = (F.col("all") >= 2) & (F.col("seen") == F.col("unlike")) & (F.col("least") == F.col("most")) & F.col("local")
-    return by.select(*keys, "value", counts.alias("counts"), agreed.alias("agreed"), F.col("first.bbox").alias("bbox"))
+    order, box = (F.col("box_no"), F.col("bbox")) if boxes else (F.lit(None).cast(kinds["box_no"]), F.lit(None).cast(kinds["bbox"]))
+    found = found.where(F.col("engine").isNotNull() & (F.size("values") > 0)).select(*keys, F.lit(1).alias("part"), order.alias("box_no"), box.alias("bbox"), "engine", "values", F.lit(None).cast("array<struct<place:int,engine:string,local:boolean>>").alias("readers"))
+    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("ord"))
+    own = readers.select(*keys, "engine", "kind", rank.alias("place")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "engine", F.coalesce(F.col("kind") == "local", F.lit(False)).alias("local")))).alias("readers"))
+    own = own.select(*keys, F.lit(0).alias("part"), F.lit(None).cast(kinds["box_no"]).alias("box_no"), F.lit(None).cast(kinds["bbox"]).alias("bbox"), F.lit(None).cast("string").alias("engine"), F.lit(None).cast("array<string>").alias("values"), "readers")
+    both = own.unionByName(found).dropna(subset=keys).repartition(*keys).sortWithinPartitions(*keys, "part", *(["box_no", "bbox"] if boxes else []))
+    width = len(keys)
+
+    def run(batches):
+        now, told, counts, first = None, [], {}, {}
+        out = Verdicts()
+        for batch in batches:
+            # A row may hold a long text's values; a few rows at a time keep what is held small.
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                texts, sizes = rows.column("values").flatten().to_numpy(zero_copy_only=False).tolist(), pc.fill_null(pc.list_value_length(rows.column("values")), 0).to_pylist()
+                ends = list(itertools.accumulate(sizes))
+                for n, row in enumerate(zip(*(c.to_pylist() for c in rows.drop_columns(["values"]).columns), strict=True)):
+                    if row[:width] != now:
+                        out.add(now, told, counts, first)
+                        now, told, counts, first = row[:width], [], {}, {}
+                    part, place, bbox, engine, named = row[width:]
+                    got = texts[ends[n] - sizes[n] : ends[n]]
+                    if part == 0:
+                        told = [tuple(r.values()) for r in named]
+                        counts, first = {e: Counter() for _, e, _ in told}, {e: {} for _, e, _ in told}
+                    elif engine in counts:
+                        counts[engine].update(got)
+                        if bbox is not None:
+                            own = first[engine]
+                            for v in got:
+                                own.setdefault(v, (place, bbox))
+                if len(out.values) >= 20_000:
+                    yield out.batch(both_schema, keys)
+        out.add(now, told, counts, first)
+        yield out.batch(both_schema, keys)
+
+    both_schema = pa.schema([pa.field(n, t) for n, t in zip([*keys, "bbox"], (to_arrow_type(both.schema[c].dataType) for c in [*keys, "bbox"]), strict=True)])
+    return both.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", value string, counts array<struct<engine:string,n:bigint>>, agreed boolean, bbox {kinds['bbox']}")
+
+
+class Verdicts:
+    """Rows of verdicts, column by column."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values, self.engines, self.counts, self.ends, self.agreed, self.boxes = [], [], [], [], [0], [], []
+
+    def add(self, key: tuple | None, told: list[tuple], counts: dict[str, Counter], first: dict[str, dict]) -> None:
+        """The values of one item; told are its readers (place, engine, local), in order."""
+        if not any(counts.values()):
+            return
+        names, local = [e for _, e, _ in told], len(told) >= 2 and any(r[2] for r in told)
+        every = dict.fromkeys(v for c in counts.values() for v in c)
+        tallies = list(zip(*([get(v, 0) for v in every] for get in (counts[e].get for e in names)), strict=True))
+        self.keys += [key] * len(every)
+        self.values += every
+        self.engines += names * len(every)
+        for t in tallies:
+            self.counts += t
+            self.ends.append(len(self.counts))
+        self.agreed += [local and t.count(t[0]) == len(t) for t in tallies]
+        if any(first.values()):
+            # Of readers with the same place the smaller box counts; a box without a number comes before others.
+            found = lambda v: min(((p, n is not None, n or 0, b) for p, e, _ in told for n, b in (first[e].get(v),) * (v in first[e])), default=(None,))[-1]
+            self.boxes += map(found, every)
+        else:
+            self.boxes += [None] * len(every)
+
+    def batch(self, schema: pa.Schema, keys: list[str]) -> pa.RecordBatch:
+        counts = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays([pa.array(self.engines, pa.string()), pa.array(self.counts, pa.int64())], ["engine", "n"]))
+        columns = [pa.array([k[n] for k in self.keys], schema.field(name).type) for n, name in enumerate(keys)]
+        rows = pa.RecordBatch.from_arrays([*columns, pa.array(self.values, pa.string()), counts, pa.array(self.agreed, pa.bool_()), pa.array(self.boxes, schema.field("bbox").type)], [*keys, "value", "counts", "agreed", "bbox"])
+        self.clear()
+        return rows
 
 
 def tally(counts: Column) -> Column:

@@ -171,3 +171,24 @@ def test_profile_of_any_size(spark):
 
     df = spark.range(600_000).select("id", (F.col("id") % 3).alias("k"), F.when(F.col("id") % 2 == 0, F.array(F.col("id") % 5)).alias("a"))
     assert {r.column_name: r.distinct for r in profile.profile(df).collect()} == {"id": 600_000, "k": 3, "a": 5}
+
+
+def test_consensus_streams_by_item(spark):
+    """Readings meet by item in one shuffle; against plain counts, with items in any order, readers that aren't named and values given."""
+    rnd = random.Random(8)
+    cases = [(i, e, n, " ".join(str(rnd.randint(1, 6)) for _ in range(rnd.randint(0, 5))), rnd.choice([None, [float(n)]])) for i in range(30) for e in "abz" for n in range(4)]
+    readers = [(i, e, k, o) for i in range(29) for e, k, o in (("b", "llm", 2), ("a", "local", 1))]
+    boxes = spark.createDataFrame(cases, "item int, engine string, box_no int, text string, bbox array<double>")
+    named = spark.createDataFrame(readers, "item int, engine string, kind string, ord int")
+    want = {}
+    for i, e, _, text, _ in cases:
+        for v in text.split() if i < 29 and e != "z" else ():
+            want.setdefault((i, v), {"a": 0, "b": 0})[e] += 1
+    first = lambda i, v: next((b for e in "ab" for j, d, _, t, b in cases if (j, d) == (i, e) and v in t.split() and b), None)
+    want = {(i, v): ([("a", c["a"]), ("b", c["b"])], c["a"] == c["b"], first(i, v)) for (i, v), c in want.items()}
+    for own in (boxes, boxes.withColumn("values", consensus.values(F.col("text"))).drop("text")):
+        out = consensus.verdicts(own, ["item"], named)
+        assert {(r["item"], r.value): ([tuple(c) for c in r.counts], r.agreed, r.bbox) for r in out.collect()} == want
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert {r.bbox for r in consensus.verdicts(boxes, ["item"], named, boxes=False).collect()} == {None}
+    assert consensus.verdicts(boxes.limit(0), ["item"], named).count() == 0
