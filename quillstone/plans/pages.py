@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,22 +46,25 @@ l as (select *, lower(regexp_replace(x, '[^A-Za-z0-9]+', '', 'g')) as norm, row_
 select h.page_id, pos, at_ as "at" from h join l using (page_id, norm, nth)"""
 
 
-def heading_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """A page's text by headings with their anchors."""
-
-    def run(frames):
-        from ..sources.parsers import Page
+def page_sections(batches: Iterable[pa.RecordBatch], pages: int = 64) -> Iterator[pa.RecordBatch]:
+    """(page_id, section, anchor, text) of batches (page_id, html): a few pages at a time, whatever the batch, so that neither its texts nor its sections are held at once."""
+    from ..sources.parsers import Page
 
-        for pdf in frames:
-            out = []
-            for i, html in zip(pdf["page_id"], pdf["html"], strict=True):
+    for batch in batches:
+        for at in range(0, batch.num_rows, pages):
+            part, out = batch.slice(at, pages), []
+            for i, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 page = Page()
                 page.feed(html or "")
                 page.close()
                 out += [(i, n, a, t) for n, (a, t) in enumerate(page.sections())]
-            yield pd.DataFrame(out, columns=["page_id", "section", "anchor", "text"])
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["page_id", "section", "anchor", "text"])
 
-    return table(spark, sf, "pages").select("page_id", "html").mapInPandas(run, "page_id long, section long, anchor string, text string")
+
+def heading_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """A page's text by headings with their anchors."""
+    return table(spark, sf, "pages").select("page_id", "html").mapInArrow(page_sections, "page_id long, section long, anchor string, text string")
 
 
 QUERIES["heading_sections"] = heading_sections

@@ -61,3 +61,14 @@ def test_files_are_made_in_every_task(spark):
     rows = made(spark, "/root/testdata/sf0.001", "f.zip", FORMATS["file_csv"][2]).withColumn("task", F.spark_partition_id())
     counts = [r["count"] for r in rows.groupBy("task").count().collect()]
     assert len(counts) >= 4 and max(counts) <= 2 * sum(counts) / len(counts)
+
+
+def test_sections_of_many_pages():
+    """Pages of a batch are parsed a few at a time; pages without text give no rows."""
+    import pyarrow as pa
+    from quillstone.plans.pages import page_sections
+
+    html = [None if n % 7 == 0 else "<p>" if n % 7 == 1 else f"lead {n}<h2 id=a{n}>Head</h2>body" for n in range(1000)]
+    out = list(page_sections([pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(html)], ["page_id", "html"])]))
+    assert max(b.num_rows for b in out) <= 128 and len(out) == 16
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [x for n in range(1000) if n % 7 > 1 for x in ((n, 0, None, f"lead {n}"), (n, 1, f"a{n}", "Head\nbody"))]
