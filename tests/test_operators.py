@@ -192,3 +192,16 @@ def test_consensus_streams_by_item(spark):
         assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
     assert {r.bbox for r in consensus.verdicts(boxes, ["item"], named, boxes=False).collect()} == {None}
     assert consensus.verdicts(boxes.limit(0), ["item"], named).count() == 0
+
+
+def test_cells_in_ranges_with_many_references(spark):
+    """References to one range are compared as one, a few at a time; against plain loops."""
+    rnd = random.Random(6)
+    ranges = [(n % 3, n, a := rnd.choice([0, 50, 130]), a + rnd.choice([0, 90]), 1, rnd.choice([1, 3]), f"k{n % 4}") for n in range(120)]
+    cells = [(n % 4, rnd.randint(0, 230), rnd.randint(0, 4), n) for n in range(400)]
+    df = spark.createDataFrame(ranges, "sheet int, ref int, r0 int, r1 int, c0 int, c1 int, kind string"), spark.createDataFrame(cells, "sheet int, r int, c int, v int")
+    want = sorted((*g, *c[1:]) for g in ranges for c in cells if g[0] == c[0] and g[2] <= c[1] <= g[3] and g[4] <= c[2] <= g[5])
+    out = ordered.cells_in(*df, "sheet", most=3)
+    assert out.columns == ["sheet", "ref", "r0", "r1", "c0", "c1", "kind", "r", "c", "v"]
+    assert sorted(map(tuple, out.collect())) == want and len(want) > 500
+    assert ordered.cells_in(df[0].limit(0), df[1], "sheet").count() == 0
